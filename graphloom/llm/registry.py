@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import op8_pii as _op8
 from .op1_pfor import op1_pfor
 from .op6_packing import op6_packing
+from .op8_pii import op8_pii
 from .op10_token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_pfor, op6_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_pfor, op6_packing, op8_pii, op10_token_counts)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_pii": _op8.ORACLE}
