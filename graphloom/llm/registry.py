@@ -11,8 +11,9 @@ from .op5_ngram_join import op5_ngram_join
 from .op6_packing import op6_packing
 from .op7_html import op7_html
 from .op8_pii import op8_pii
+from .op9_near_vectors import op9_near_vectors
 from .op10_token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_pfor, op2_toxicity, op3_line_dedup, op4_decontam, op5_ngram_join, op6_packing, op7_html, op8_pii, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_pfor, op2_toxicity, op3_line_dedup, op4_decontam, op5_ngram_join, op6_packing, op7_html, op8_pii, op9_near_vectors, op10_token_counts)}
 
 ORACLES: dict[str, str] = {"op8_pii": _op8.ORACLE}
