@@ -50,6 +50,8 @@ def shared(query: np.ndarray, other: np.ndarray, found: int, need: int) -> int:
 
 def forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect what all links of these sets connect."""
+    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))  # lists then stay ascending
+    ids, sets = [ids[i] for i in order], [sets[i] for i in order]
     parent = list(range(len(ids)))
 
     def root(x: int) -> int:
@@ -61,7 +63,7 @@ def forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
     values, freq = np.unique(np.concatenate(sets), return_counts=True)
     lists: dict[int, dict[int, list[int]]] = {}  # token -> root when added -> sets
     links = []
-    for q in sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i])):
+    for q in range(len(ids)):
         mine = sets[q]
         n = len(mine)
         need = setjoin.overlap_needed(n, percent)
