@@ -95,21 +95,35 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id_col, n_shingles, component_id) of every row."""
     common.small_batches(docs.sparkSession)
 
+    def sets_of(batch):
+        return [setjoin.shingle_hashes(words_of(t), shingle) for t in batch.column(1).to_pylist()]
+
     def measure(batches):
         import pyarrow as pa
 
         for b in batches:
-            sets = [setjoin.shingle_hashes(words_of(t), shingle) for t in b.column(1).to_pylist()]
+            sets = sets_of(b)
             digests = [setjoin.digest_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "digest", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], ["id", "n", "digest"])
+
+    def tokens(batches):
+        import pyarrow as pa
 
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if i != 1), pa.array(sets_of(b), pa.list_(pa.int64()))], [*(n for n in b.schema.names if n != "text"), "tokens"])
+
+    # sets are made anew where they are needed: cheaper than keeping and shuffling them
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    rows = common.written(src.mapInArrow(measure, "id long, n long, digest binary, tokens array<long>"), "shingles")
+    rows = common.written(src.mapInArrow(measure, "id long, n long, digest binary"), "shingles")
     first = common.written(setjoin.collapse(rows.where("id IS NOT NULL"), "digest", "id").select("digest", F.col("first.id").alias("rep")), "classes")
-    # only the set of the representative row; equal (id, digest) rows are one
-    reps = rows.join(first.select("digest", F.col("rep").alias("id")), ["digest", "id"]).dropDuplicates(["id"]).select("id", "tokens")
-    reps = common.written(reps, "sets")
-    blocks = setjoin.candidate_blocks(reps, setjoin.rarity(reps), percent)
+    sets = src.where("id IS NOT NULL").mapInArrow(tokens, "id long, tokens array<long>").where("size(tokens) > 0")
+    reps = first.select(F.col("rep").alias("id"))
+
+    def fetch(groups):
+        texts = src.join(groups, "id").dropDuplicates(["id"]).select("id", "text", "component_id")
+        return texts.mapInArrow(tokens, "id long, component_id long, tokens array<long>")
+
+    blocks = setjoin.candidate_blocks(sets, setjoin.rarity(sets), percent, reps, fetch)
 
     def search(pdf):
         import pandas as pd
