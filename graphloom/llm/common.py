@@ -71,6 +71,46 @@ def kept_path(df: DataFrame) -> str:
     return df.inputFiles()[0].rpartition("/")[0]
 
 
+class Forest:
+    """Union-find over the ids of a task, bounded: beyond ``limit`` ids it starts anew."""
+
+    def __init__(self, limit: int = 1_000_000):
+        self.parent: dict[int, int] = {}
+        self.limit = limit
+
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = parent[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the edge joins two trees; a forest begun anew only repeats edges."""
+        a, b = self.root(a), self.root(b)
+        if a == b:
+            return False
+        if len(self.parent) >= self.limit:
+            self.parent.clear()
+        self.parent[max(a, b)] = min(a, b)
+        return True
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) of each task without those that its others imply."""
+
+    def thin(batches):
+        import pyarrow as pa
+
+        trees = Forest()
+        for b in batches:
+            new = [(u, v) for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True) if trees.join(u, v)]
+            if new:
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in new], pa.int64()), pa.array([v for _, v in new], pa.int64())], ["u", "v"])
+
+    return edges.mapInArrow(thin, "u long, v long")
+
+
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest reachable id of every id that occurs in ``pairs``.
 
@@ -84,8 +124,8 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     spark = pairs.sparkSession
     edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = written(edges, "edges")
+    edges = thinned(edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")))
+    edges = written(thinned(edges.distinct()), "edges")
     state = None
     while True:
         old = kept_path_or_none(edges)

@@ -67,48 +67,72 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     common.small_batches(spark)
 
+    def set_of(line):
+        return setjoin.shingle_hashes(words_of(line), shingle)
+
     def measure(batches):
         import pyarrow as pa
 
+        names, kinds = ["id", "key", "line", "digest", "n", "sketch"], (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
+        total = np.zeros(setjoin.SKETCH, np.int64)
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
+            rows: list[tuple] = []
             for i, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for no, line in enumerate(text.split("\n")):
                     words = words_of(line)
                     if len(words) >= min_words:
                         s = setjoin.shingle_hashes(words, shingle)
-                        for c, v in zip(cols, (i, key, no, setjoin.digest_of(s), s), strict=True):
-                            c.append(v)
-                    if len(cols[0]) >= 5000:
-                        yield pack(pa, cols)
-                        cols = [[], [], [], [], []]
-            if cols[0]:
-                yield pack(pa, cols)
+                        setjoin.add_to_sketch(total, s)
+                        rows.append((i, key, no, setjoin.digest_of(s), len(s), None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        last = (None, None, None, None, None, setjoin.sketch_row(total))
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(last, kinds, strict=True)], names)
+
+    def pick(batches):
+        """Text of the lines that stand for their class."""
+        import pyarrow as pa
+
+        for b in batches:
+            ats, texts = [], []
+            for text, firsts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                lines = text.split("\n")
+                ats += [f["at"] for f in firsts]
+                texts += [lines[f["line"]] for f in firsts]
+            yield pa.RecordBatch.from_arrays([pa.array(ats, pa.int64()), pa.array(texts, pa.string())], ["at", "text"])
+
+    def tokens(batches):
+        import pyarrow as pa
 
-    def pack(pa, c):
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.binary()), pa.array(c[4], pa.list_(pa.int64()))], ["id", "key", "line", "digest", "tokens"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_of(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "tokens"])
 
     src = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    lines = common.written(src.mapInArrow(measure, "id long, key long, line int, digest binary, tokens array<long>"), "lines")
-    first = common.written(setjoin.collapse(lines, "digest", "id", "key", "line"), "first-lines")
-    reps = lines.join(first.select("digest", F.col("first.id").alias("id"), F.col("first.key").alias("key"), F.col("first.line").alias("line")), ["digest", "id", "key", "line"]).dropDuplicates(["digest"])
+    measured = common.written(src.mapInArrow(measure, "id long, key long, line int, digest binary, n long, sketch binary"), "lines")
+    lines = measured.where("sketch IS NULL").drop("sketch")
+    first = setjoin.collapse(lines, "digest", "id", "key", "line", "n").select("digest", "first.*")
     # numbers in the order of occurrence: range-sorted, then counted per partition
-    ranged = common.written(reps.repartitionByRange(common.width(spark), "id", "key", "line").sortWithinPartitions("id", "key", "line").withColumn("at", F.monotonically_increasing_id()), "line-sets")
-    sets = ranged.select(F.col("at").alias("id"), "tokens")
-    counts = setjoin.rarity(sets)
+    first = first.repartitionByRange(common.width(spark), "id", "key", "line").sortWithinPartitions("id", "key", "line").withColumn("at", F.monotonically_increasing_id())
+    first = common.written(first, "line-classes")
+    firsts = common.written(first.groupBy("id", "key").agg(F.collect_list(F.struct("line", "at")).alias("firsts")), "line-firsts")
+    texts = common.written(src.join(firsts, ["id", "key"]).select("text", "firsts").mapInArrow(pick, "at long, text string"), "line-texts")
+    counts = setjoin.rarity(measured)
     held = spark.sparkContext.broadcast(counts)
+    weights = first.select(F.col("at").alias("id"), "n")
+    tasks = setjoin.candidate_tasks(texts.mapInArrow(tokens, "id long, tokens array<long>"), weights, counts, percent)
 
     def search(pdf):
         import pandas as pd
 
-        return pd.DataFrame({"at": matched_earlier(pdf["id"].tolist(), [np.asarray(t, np.int64) for t in pdf["tokens"]], held.value, percent)}, dtype="int64")
+        pdf = pdf.drop_duplicates("at")
+        return pd.DataFrame({"at": matched_earlier(pdf["at"].tolist(), [set_of(t) for t in pdf["text"]], held.value, percent)}, dtype="int64")
 
-    gone = setjoin.candidate_blocks(sets, counts, percent).groupBy("task").applyInPandas(search, "at long").distinct()
-    gone = gone.join(ranged.select("at", "digest"), "at").select("digest", F.lit(True).alias("gone"))
-    marks = first.join(common.written(gone, "gone-lines"), "digest", "left")
+    gone = texts.join(tasks.withColumnRenamed("id", "at"), "at").groupBy("task").applyInPandas(search, "at long").distinct()
+    gone = common.written(gone.withColumn("gone", F.lit(True)), "gone-lines")
+    marks = first.join(gone, "at", "left").select("digest", F.struct("id", "key", "line").alias("first"), "gone")
     all_lines = lines.select("id", "key", "line", "digest").join(marks, "digest")
     out = all_lines.where("gone OR first.id <> id OR first.key <> key OR first.line <> line")
-    return out.groupBy("id", "key").agg(F.collect_set("line").alias("lines"))
+    return common.written(out.groupBy("id", "key").agg(F.collect_set("line").alias("lines")), "removed-lines")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

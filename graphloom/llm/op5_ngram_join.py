@@ -95,43 +95,48 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id_col, n_shingles, component_id) of every row."""
     common.small_batches(docs.sparkSession)
 
-    def sets_of(batch):
-        return [setjoin.shingle_hashes(words_of(t), shingle) for t in batch.column(1).to_pylist()]
+    def set_of(text):
+        return setjoin.shingle_hashes(words_of(text), shingle)
 
     def measure(batches):
         import pyarrow as pa
 
+        names, total = ["id", "n", "digest", "sketch"], np.zeros(setjoin.SKETCH, np.int64)
         for b in batches:
-            sets = sets_of(b)
-            digests = [setjoin.digest_of(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], ["id", "n", "digest"])
+            sizes, digests = [], []
+            for t in b.column(1).to_pylist():
+                s = set_of(t)
+                setjoin.add_to_sketch(total, s)
+                sizes.append(len(s))
+                digests.append(setjoin.digest_of(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(b.num_rows, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([setjoin.sketch_row(total)], pa.binary())], names)
 
     def tokens(batches):
         import pyarrow as pa
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns) if i != 1), pa.array(sets_of(b), pa.list_(pa.int64()))], [*(n for n in b.schema.names if n != "text"), "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_of(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "tokens"])
 
     # sets are made anew where they are needed: cheaper than keeping and shuffling them
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    rows = common.written(src.mapInArrow(measure, "id long, n long, digest binary"), "shingles")
-    first = common.written(setjoin.collapse(rows.where("id IS NOT NULL"), "digest", "id").select("digest", F.col("first.id").alias("rep")), "classes")
+    measured = common.written(src.mapInArrow(measure, "id long, n long, digest binary, sketch binary"), "shingles")
+    rows = measured.where("sketch IS NULL").drop("sketch")
+    first = setjoin.collapse(rows.where("id IS NOT NULL"), "digest", "id", "n").select("digest", F.col("first.id").alias("rep"), F.col("first.n").alias("n"))
+    first = common.written(first, "classes")
+    weights = first.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.max("n").alias("n"))
     sets = src.where("id IS NOT NULL").mapInArrow(tokens, "id long, tokens array<long>").where("size(tokens) > 0")
-    reps = first.select(F.col("rep").alias("id"))
-
-    def fetch(groups):
-        texts = src.join(groups, "id").dropDuplicates(["id"]).select("id", "text", "component_id")
-        return texts.mapInArrow(tokens, "id long, component_id long, tokens array<long>")
-
-    blocks = setjoin.candidate_blocks(sets, setjoin.rarity(sets), percent, reps, fetch)
+    tasks = setjoin.candidate_tasks(sets, weights, setjoin.rarity(measured), percent, weights.select("id"))
+    members = src.join(tasks, "id")
 
     def search(pdf):
         import pandas as pd
 
-        links = forest(pdf["id"].tolist(), [np.asarray(t, np.int64) for t in pdf["tokens"]], percent)
+        pdf = pdf.drop_duplicates("id")
+        links = forest(pdf["id"].tolist(), [set_of(t) for t in pdf["text"]], percent)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    links = common.written(blocks.groupBy("task").applyInPandas(search, "a long, b long"), "links")
+    links = common.written(members.groupBy("task").applyInPandas(search, "a long, b long"), "links")
     of = first.join(common.components(links).select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     of = of.select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.select("id", "n", "digest").join(of, "digest", "left")
