@@ -41,6 +41,8 @@ def matched_earlier(ids: list[int], sets: list[np.ndarray], counts: np.ndarray,
             return min(n, m) * 100 >= percent * max(n, m) and shared(mine, sets[r], 0, need) >= need
 
         hit = last >= 0 and match(last)
+        if not hit:  # the newest of each list first: near copies end here
+            hit = any(match(r) for r in {index[t][-1][0] for t in prefix if t in index})
         if not hit:
             seen: dict[int, int] = {}
             for i, t in enumerate(prefix):
@@ -67,25 +69,24 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     common.small_batches(spark)
 
-    def set_of(line):
-        return setjoin.shingle_hashes(words_of(line), shingle)
-
     def measure(batches):
         import pyarrow as pa
 
         names, kinds = ["id", "key", "line", "digest", "n", "sketch"], (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
         total = np.zeros(setjoin.SKETCH, np.int64)
         for b in batches:
-            rows: list[tuple] = []
+            rows, found = [], []
             for i, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for no, line in enumerate(text.split("\n")):
-                    words = words_of(line)
-                    if len(words) >= min_words:
-                        s = setjoin.shingle_hashes(words, shingle)
-                        setjoin.add_to_sketch(total, s)
-                        rows.append((i, key, no, setjoin.digest_of(s), len(s), None))
+                    ws = words_of(line)
+                    if len(ws) >= min_words:
+                        rows.append((i, key, no))
+                        found.append(ws)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                tokens, at = setjoin.many_sets(found, shingle)
+                setjoin.add_to_sketch(total, tokens)
+                cols = [*zip(*rows, strict=True), setjoin.many_digests(tokens, at), np.diff(at), [None] * len(rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
         last = (None, None, None, None, None, setjoin.sketch_row(total))
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(last, kinds, strict=True)], names)
 
@@ -101,12 +102,6 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 texts += [lines[f["line"]] for f in firsts]
             yield pa.RecordBatch.from_arrays([pa.array(ats, pa.int64()), pa.array(texts, pa.string())], ["at", "text"])
 
-    def tokens(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_of(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "tokens"])
-
     src = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     measured = common.written(src.mapInArrow(measure, "id long, key long, line int, digest binary, n long, sketch binary"), "lines")
     lines = measured.where("sketch IS NULL").drop("sketch")
@@ -119,13 +114,14 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counts = setjoin.rarity(measured)
     held = spark.sparkContext.broadcast(counts)
     weights = first.select(F.col("at").alias("id"), "n")
-    tasks = setjoin.candidate_tasks(texts.mapInArrow(tokens, "id long, tokens array<long>"), weights, counts, percent)
+    tasks = setjoin.candidate_tasks(texts.withColumnRenamed("at", "id"), words_of, shingle, weights, counts, percent)
 
     def search(pdf):
         import pandas as pd
 
         pdf = pdf.drop_duplicates("at")
-        return pd.DataFrame({"at": matched_earlier(pdf["at"].tolist(), [set_of(t) for t in pdf["text"]], held.value, percent)}, dtype="int64")
+        tokens, at = setjoin.many_sets([words_of(t) for t in pdf["text"]], shingle)
+        return pd.DataFrame({"at": matched_earlier(pdf["at"].tolist(), np.split(tokens, at[1:-1]), held.value, percent)}, dtype="int64")
 
     gone = texts.join(tasks.withColumnRenamed("id", "at"), "at").groupBy("task").applyInPandas(search, "at long").distinct()
     gone = common.written(gone.withColumn("gone", F.lit(True)), "gone-lines")

@@ -95,29 +95,17 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(id_col, n_shingles, component_id) of every row."""
     common.small_batches(docs.sparkSession)
 
-    def set_of(text):
-        return setjoin.shingle_hashes(words_of(text), shingle)
-
     def measure(batches):
         import pyarrow as pa
 
         names, total = ["id", "n", "digest", "sketch"], np.zeros(setjoin.SKETCH, np.int64)
         for b in batches:
-            sizes, digests = [], []
-            for t in b.column(1).to_pylist():
-                s = set_of(t)
-                setjoin.add_to_sketch(total, s)
-                sizes.append(len(s))
-                digests.append(setjoin.digest_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(b.num_rows, pa.binary())], names)
+            tokens, at = setjoin.many_sets([words_of(t) for t in b.column(1).to_pylist()], shingle)
+            setjoin.add_to_sketch(total, tokens)
+            digests = pa.array(setjoin.many_digests(tokens, at), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), digests, pa.nulls(b.num_rows, pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([setjoin.sketch_row(total)], pa.binary())], names)
 
-    def tokens(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_of(t) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], ["id", "tokens"])
-
     # sets are made anew where they are needed: cheaper than keeping and shuffling them
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     measured = common.written(src.mapInArrow(measure, "id long, n long, digest binary, sketch binary"), "shingles")
@@ -125,15 +113,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = setjoin.collapse(rows.where("id IS NOT NULL"), "digest", "id", "n").select("digest", F.col("first.id").alias("rep"), F.col("first.n").alias("n"))
     first = common.written(first, "classes")
     weights = first.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.max("n").alias("n"))
-    sets = src.where("id IS NOT NULL").mapInArrow(tokens, "id long, tokens array<long>").where("size(tokens) > 0")
-    tasks = setjoin.candidate_tasks(sets, weights, setjoin.rarity(measured), percent, weights.select("id"))
+    texts = src.where("id IS NOT NULL AND text IS NOT NULL")
+    tasks = setjoin.candidate_tasks(texts, words_of, shingle, weights, setjoin.rarity(measured), percent, weights.select("id"))
     members = src.join(tasks, "id")
 
     def search(pdf):
         import pandas as pd
 
         pdf = pdf.drop_duplicates("id")
-        links = forest(pdf["id"].tolist(), [set_of(t) for t in pdf["text"]], percent)
+        tokens, at = setjoin.many_sets([words_of(t) for t in pdf["text"]], shingle)
+        links = forest(pdf["id"].tolist(), np.split(tokens, at[1:-1]), percent)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
     links = common.written(members.groupBy("task").applyInPandas(search, "a long, b long"), "links")
