@@ -67,7 +67,8 @@ def forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
         mine = sets[q]
         n = len(mine)
         need = setjoin.overlap_needed(n, percent)
-        ordered = mine[np.argsort(freq[np.searchsorted(values, mine)], kind="stable")]
+        times = freq[np.searchsorted(values, mine)]
+        ordered = mine[np.argsort(times, kind="stable")]
         short, long = ordered[: n - need + 1].tolist(), np.sort(ordered[n - need + 1 :])
 
         def check(r: int, count: int, probe: np.ndarray, q=q, n=n, need=need) -> None:
@@ -86,7 +87,7 @@ def forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[i
         for r, same in groupby(heapq.merge(*rest)):
             check(r, sum(1 for _ in same), long)
         top = root(q)
-        for t in mine.tolist():
+        for t in mine[times > 1].tolist():  # a token of one set finds nothing
             lists.setdefault(t, {}).setdefault(top, []).append(q)
     return links
 
