@@ -1,14 +1,13 @@
-"""Near duplicates among embeddings: robust-pruned flat graphs over overlapping shards.
+"""Near duplicates among embeddings: exact search over shards that overlap by the angle.
 
 Equal vectors of a label are one class that takes part once.  Centres are drawn
-from a bounded sample of the classes of each label; every class goes to the
-``OVERLAP`` shards with the nearest centres, and shards beyond ``SHARD`` rows are
-split again by a deeper level of centres.  In a shard a flat graph is built by
-greedy search and robust pruning (DiskANN: Subramanya et al., NeurIPS 2019); the
-shards' adjacency lists are united, and every vector's neighbourhood is searched
-from its shard's medoid with a list that grows while results lie in range.
-Pairs are verified by cosine in double precision.  ``recall`` audits the links
-against brute force for given queries.
+from a bounded sample of the classes of each label.  Every class is a member of
+the shard of its nearest centre and looks for links there and in every other
+shard that can hold a vector within the angle of ``cosine``: those whose dividing
+plane lies within that angle.  Members of a shard are compared with all that
+look there, in slices, by cosine in double precision.  A task gives the number of
+links of each of its rows and a spanning forest of them, never the pairs, so its
+rows do not grow with the square of a group of near copies.
 
 Vectors that are null, zero, of a length other than the usual one of their
 label, or with null or non-finite components, and rows with a null label, are
@@ -25,14 +24,12 @@ from pyspark.sql import functions as F
 from . import common, setjoin
 
 COSINE = 0.98
-#: Rows a centre stands for; a shard holds about OVERLAP times as many.
+#: Rows a centre stands for.
 PER_CENTRE = 1500
-OVERLAP = 2
 #: Centres of one level: more rows than MAX_CENTRES * PER_CENTRE make larger shards, worked off in slices.
 MAX_CENTRES = 4096
-DEGREE = 24
-ALPHA = 1.2
-LIST = 48
+#: Rows compared with a slice at once.
+BLOCK = 256
 
 
 def unit(v) -> np.ndarray | None:
@@ -44,75 +41,22 @@ def unit(v) -> np.ndarray | None:
     return a / size if size > 0 and np.isfinite(size) else None
 
 
-def robust_prune(x: np.ndarray, p: int, pool: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
-    pool = np.unique(pool[pool != p])
-    dist = 1 - x[pool] @ x[p]
-    order = np.argsort(dist, kind="stable")
-    pool, dist = pool[order], dist[order]
-    alive, out = np.ones(len(pool), bool), []
-    for i in range(len(pool)):
-        if alive[i]:
-            out.append(pool[i])
-            if len(out) == degree:
-                break
-            alive &= ~(alpha * (1 - x[pool] @ x[pool[i]]) <= dist)
-    return np.array(out, np.int64)
-
-
-def greedy(x: np.ndarray, graph: list[np.ndarray], start: int, q: np.ndarray, size: int, bound: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Visited nodes and their cosines; the list grows while all of its upper half is in range."""
-    seen = np.zeros(len(x), bool)
-    seen[start] = True
-    ids, cos = np.array([start]), np.array([x[start] @ q])
-    done = np.zeros(1, bool)
-    while True:
-        open_ = np.nonzero(~done[:size])[0]
-        if not len(open_):
-            if bound is not None and len(ids) > size and (cos[:size] >= bound).sum() * 2 >= size:
-                size *= 2
-                continue
-            return ids, cos
-        picks = open_[:4]
-        done[picks] = True
-        new = np.unique(np.concatenate([graph[i] for i in ids[picks]]))
-        new = new[~seen[new]]
-        if len(new):
-            seen[new] = True
-            ids, cos, done = np.concatenate([ids, new]), np.concatenate([cos, x[new] @ q]), np.concatenate([done, np.zeros(len(new), bool)])
-            order = np.argsort(-cos, kind="stable")
-            ids, cos, done = ids[order], cos[order], done[order]
-
-
-def build(x: np.ndarray, seed: int = 7) -> tuple[list[np.ndarray], int]:
-    """Adjacency lists and the medoid of a shard."""
-    n = len(x)
-    rng = np.random.default_rng(seed)
-    mean = x.mean(0)
-    medoid = int(np.argmax(x @ mean))
-    graph = [rng.integers(0, n, min(8, n)) for _ in range(n)]
-    for p in rng.permutation(n):
-        visited, _ = greedy(x, graph, medoid, x[p], LIST)
-        graph[p] = robust_prune(x, p, np.concatenate([visited[: 2 * LIST], graph[p]]))
-        for r in graph[p]:
-            near = np.append(graph[r], p)
-            graph[r] = near if len(near) <= DEGREE + 8 else robust_prune(x, r, near)
-    return graph, medoid
-
-
-def shard_links(ids: np.ndarray, x: np.ndarray, cosine: float) -> np.ndarray:
-    """Verified pairs (smaller id, larger id) of a shard."""
-    graph, medoid = build(x)
-    back: list[list[int]] = [[] for _ in range(len(x))]
-    for a, near in enumerate(graph):
-        for b in near:
-            back[b].append(a)
-    graph = [np.unique(np.concatenate([g, np.array(b, np.int64)])) for g, b in zip(graph, back, strict=True)]
-    out = []
-    for p in range(len(x)):
-        got, cos = greedy(x, graph, medoid, x[p], LIST, cosine - 0.01)
-        got = got[(cos >= cosine) & (got != p)]
-        out.append(np.stack([np.minimum(ids[got], ids[p]), np.maximum(ids[got], ids[p])], 1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+def scan(x: np.ndarray, ids: np.ndarray, copies: np.ndarray, members: np.ndarray, cosine: float, asking: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Copies of ``members`` that each of the first ``asking`` rows is linked with, and links that connect what all these links connect."""
+    others = np.zeros(asking, np.int64)
+    tree, forest = np.arange(len(x)), []
+    xm, im, cm = x[members], ids[members], copies[members]
+    for at in range(0, asking, BLOCK):
+        end = min(at + BLOCK, asking)
+        near = (x[at:end] @ xm.T >= cosine) & (ids[at:end, None] != im)
+        others[at:end] = near @ cm
+        for p in np.nonzero(near.any(1))[0]:
+            hits = members[near[p]]
+            p += at
+            for r in np.unique(tree[hits[tree[hits] != tree[p]]]):
+                forest.append((int(ids[p]), int(ids[hits[tree[hits] == r][0]])))
+                tree[tree == r] = tree[p]
+    return others, forest
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
@@ -133,7 +77,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     rows = common.written(src.mapInArrow(clean, "id long, label string, x array<double>, digest binary"), "vectors")
     usable = rows.where("id IS NOT NULL AND label IS NOT NULL AND digest IS NOT NULL")
     classes = common.written(usable.groupBy("label", "digest").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")), "vector-classes")
-    reps = usable.join(classes.select("label", "digest", F.col("rep").alias("id")), ["label", "digest", "id"]).dropDuplicates(["label", "id"]).select("id", "label", "x", F.size("x").alias("dim"))
+    reps = usable.join(classes.select("label", "digest", F.col("rep").alias("id"), "copies"), ["label", "digest", "id"]).dropDuplicates(["label", "id"]).select("id", "label", "x", F.size("x").alias("dim"), "copies")
     reps = common.written(reps, "vector-reps")
 
     # one row per (label, dimension): how many vectors, hence how many centres
@@ -145,38 +89,50 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         centres[key] = np.array([r["x"] for r in picked if (r["label"], r["dim"]) == key])
     held = spark.sparkContext.broadcast(centres)  # at most 4 * MAX_CENTRES vectors
 
+    # a vector within the angle of x is nearest to a centre c only if x is within that angle of the plane between c and its own centre
+    margin = (np.sqrt(max(0.0, 1 - cosine * cosine)) if cosine > 0 else np.inf) + 1e-9
+
     def assign(batches):
         import pyarrow as pa
 
         for b in batches:
-            ids, labels, shards, xs = [], [], [], []
-            for i, label, x, dim in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                c = held.value.get((label, dim))
-                near = [0] if c is None or len(c) < 2 else np.argsort(-(c @ np.array(x)), kind="stable")[:OVERLAP].tolist()
-                for s in near:
-                    ids.append(i)
-                    labels.append(label)
-                    shards.append(f"{dim}:{s}")
-                    xs.append(x)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(labels, pa.string()), pa.array(shards, pa.string()), pa.array(xs, pa.list_(pa.float64()))], ["id", "label", "shard", "x"])
-
-    sharded = common.written(reps.mapInArrow(assign, "id long, label string, shard string, x array<double>"), "shards")
-    # a shard of k slices goes to tasks by pairs of slices, so none outgrows memory
-    sizes = sharded.groupBy("label", "shard").agg(F.ceil(F.count("*") / (8 * PER_CENTRE)).cast("int").alias("k"))
-    spread = sharded.join(F.broadcast(sizes) if share == 1.0 and len(picked) < MAX_CENTRES else sizes, ["label", "shard"]).withColumn("mine", F.pmod(F.xxhash64("id"), "k").cast("int"))
-    spread = spread.withColumn("other", F.explode(F.expr("filter(sequence(0, k - 1), s -> k = 1 OR s <> mine)")))
-    spread = spread.select("label", "shard", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "x")
+            out = []
+            for i, label, x, dim, copies in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                c, home, shards = held.value.get((label, dim)), 0, [0]
+                if c is not None and len(c) > 1:
+                    near = c @ np.array(x)
+                    home = int(near.argmax())
+                    apart = np.sqrt(np.maximum(0.0, ((c - c[home]) ** 2).sum(1)))
+                    shards = np.nonzero(near[home] - near <= margin * apart + 1e-12)[0].tolist()
+                out += [(i, label, f"{dim}:{s}", x, copies, s == home) for s in shards]
+            if out:
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "label", "shard", "x", "copies", "home"])
+
+    sharded = common.written(reps.mapInArrow(assign, "id long, label string, shard string, x array<double>, copies long, home boolean"), "shards")
+    # members of a shard in k slices, all rows that look there in m: a task has one slice of each, so none outgrows memory
+    size = lambda rows: F.greatest(F.lit(1), F.ceil(rows / (8 * PER_CENTRE))).cast("int")
+    sizes = sharded.groupBy("label", "shard").agg(size(F.sum(F.col("home").cast("int"))).alias("k"), size(F.count("*")).alias("m"))
+    spread = sharded.join(F.broadcast(sizes) if share == 1.0 and len(picked) < MAX_CENTRES else sizes, ["label", "shard"])
+    spread = spread.withColumn("i", F.pmod(F.xxhash64("id"), "k").cast("int")).withColumn("j", F.pmod(F.xxhash64("id", F.lit(1)), "m").cast("int"))
+    asks = "transform(sequence(0, k - 1), s -> struct(s AS i, j AS j, home AND s = i AS member, true AS asks))"
+    holds = "filter(transform(sequence(0, m - 1), s -> struct(i AS i, s AS j, true AS member, false AS asks)), c -> home AND c.j <> j)"
+    spread = spread.withColumn("cell", F.explode(F.expr(f"concat({asks}, {holds})"))).select("label", "shard", "cell.*", "id", "x", "copies")
 
     def search(pdf):
         import pandas as pd
 
-        found = shard_links(pdf["id"].to_numpy(np.int64), np.array(pdf["x"].tolist()), cosine)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]}, dtype="int64")
-
-    links = common.written(spread.groupBy("label", "shard", "i", "j").applyInPandas(search, "a long, b long").distinct(), "vector-links")
-    sides = links.select(F.col("a").alias("rep"), F.col("b").alias("peer")).union(links.select("b", "a"))
-    degree = sides.join(classes.select(F.col("rep").alias("peer"), "copies"), "peer").groupBy("rep").agg(F.sum("copies").alias("others"))
+        pdf = pdf.sort_values("asks", ascending=False, kind="stable")
+        ids, n = pdf["id"].to_numpy(np.int64), int(pdf["asks"].sum())
+        others, forest = scan(np.array(pdf["x"].tolist()), ids, pdf["copies"].to_numpy(np.int64), np.nonzero(pdf["member"].to_numpy(bool))[0], cosine, n)
+        some = np.nonzero(others)[0]
+        a, b = np.array(forest, np.int64).reshape(-1, 2).T
+        return pd.DataFrame({"a": np.r_[ids[some], a], "b": np.r_[ids[some], b], "others": np.r_[others[some], np.zeros(len(a), np.int64)]}, dtype="int64")
+
+    # every member is in one slice of one shard, so a link is counted once for each of its ends; at most two rows a row
+    links = common.written(spread.groupBy("label", "shard", "i", "j").applyInPandas(search, "a long, b long, others long"), "vector-links")
+    degree = links.groupBy(F.col("a").alias("rep")).agg(F.sum("others").alias("others"))
+    links = links.where("a <> b").select("a", "b")
     comp = common.components(links).select(F.col("id").alias("rep"), "component_id")
     info = classes.join(degree, "rep", "left").join(comp, "rep", "left")
     info = info.select("label", "digest", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
