@@ -1,10 +1,10 @@
 """Line deduplication by an exact set-similarity join.
 
 Lines are what stands between ``\\n``.  A line's set holds its distinct 5-word
-shingles (A-Z lower-cased); lines of fewer than ``min_words`` words are never
-compared.  Tokens are ordered by rarity; prefix, length and positional filters
-(PPJoin: Xiao et al., WWW 2008) leave candidates whose Jaccard similarity is then
-computed.  A line that matches an earlier line, in the order (id, line number),
+shingles (A-Z lower-cased); a line of fewer words has all of them as its one
+token, and only lines without a word are never compared.  Tokens are ordered by
+rarity; prefix, length and positional filters (PPJoin: Xiao et al., WWW 2008)
+leave candidates whose Jaccard similarity is then computed.  A line that matches an earlier line, in the order (id, line number),
 at 0.8 or more is removed, whether or not the earlier one was removed itself.
 
 Equal line sets are one class that takes part with its first occurrence.  Rows
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common, setjoin
 from .op5_ngram_join import PERCENT, SHINGLE, shared, words_of
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 
 
 def matched_earlier(ids: list[int], sets: list[np.ndarray], counts: np.ndarray, percent: int) -> list[int]:
@@ -109,11 +109,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # numbers in the order of occurrence: range-sorted, then counted per partition
     first = first.repartitionByRange(common.width(spark), "id", "key", "line").sortWithinPartitions("id", "key", "line").withColumn("at", F.monotonically_increasing_id())
     first = common.written(first, "line-classes")
-    firsts = common.written(first.groupBy("id", "key").agg(F.collect_list(F.struct("line", "at")).alias("firsts")), "line-firsts")
+    # a set of one token matches only equal sets (1 / 2 is less than the threshold): its class needs no search
+    sought = first.where("n > 1") if percent > 50 else first
+    firsts = common.written(sought.groupBy("id", "key").agg(F.collect_list(F.struct("line", "at")).alias("firsts")), "line-firsts")
     texts = common.written(src.join(firsts, ["id", "key"]).select("text", "firsts").mapInArrow(pick, "at long, text string"), "line-texts")
     counts = setjoin.rarity(measured)
     held = spark.sparkContext.broadcast(counts)
-    weights = first.select(F.col("at").alias("id"), "n")
+    weights = sought.select(F.col("at").alias("id"), "n")
     tasks = setjoin.candidate_tasks(texts.withColumnRenamed("at", "id"), words_of, shingle, weights, counts, percent)
 
     def search(pdf):
