@@ -89,7 +89,8 @@ QUERIES = {
     "unenclosed_spans": lambda s, d: q.unenclosed(_spans(s, d)),
     "impact": _impact,
     "strong_components": lambda s, d: tr.strong_components(src.trade(s, d)),
-    "pagerank": lambda s, d: tr.pagerank(src.trade(s, d).withColumn("weight", F.lit(1))),
+    "strong_components_whole": lambda s, d: tr.strong_components(src.trade(s, d, None)),
+    "pagerank": lambda s, d: tr.pagerank(src.trade(s, d, None).withColumn("weight", F.lit(1))),
     "source_metrics": lambda s, d: src.table(s, d, "documents").select("doc_id", approx_tokens(F.col("text")).alias("tokens"), F.octet_length("text").cast("long").alias("bytes"), content_hash(F.col("text")).alias("hash")),
     "change_bursts": _bursts,
 }
@@ -97,6 +98,11 @@ QUERIES = {
 _SCORE = "CASE WHEN lower(qualified_name) = 'o12' THEN 100 WHEN lower(name) = 'o12' THEN 80 WHEN starts_with(lower(name), 'o12') THEN 50 WHEN contains(lower(name), 'o12') OR contains(lower(qualified_name), 'o12') THEN 30 ELSE 0 END + CASE WHEN contains(lower(file), 'o12') THEN 15 ELSE 0 END"
 _COMMITS = "WITH c AS (SELECT o_orderkey AS commit, o_custkey AS author, l_partkey AS file FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
+#: Components of the whole trade, in a form that reaches nodes rather than paths.
+_COMPONENTS_WHOLE = """WITH RECURSIVE t AS MATERIALIZED (SELECT DISTINCT CAST(c_nationkey AS BIGINT) src, CAST(s_nationkey AS BIGINT) dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey),
+v AS (SELECT src id FROM t UNION SELECT dst FROM t), r(a, b) AS (SELECT id, id FROM v UNION SELECT a, dst FROM r JOIN t ON b = src),
+c AS (SELECT x.a id, min(x.b) component_id FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1) SELECT id, component_id, count(*) OVER (PARTITION BY component_id) AS size FROM c"""
+
 ORACLES = {
     "find_exact": _G + "SELECT * FROM nodes WHERE qualified_name = 'o12' OR name = 'o12' OR file = 'o12'",
     "find_substring": _G + "SELECT * FROM nodes WHERE contains(qualified_name, '::o12')",
@@ -116,6 +122,7 @@ ORACLES = {
     "unenclosed_spans": """WITH s AS (SELECT l_suppkey AS file, l_partkey AS start, l_partkey + l_quantity::BIGINT AS "end", l_orderkey * 10 + l_linenumber AS id FROM lineitem) SELECT a.* FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.file = a.file AND (b.start < a.start OR b.start = a.start AND (b."end" > a."end" OR b."end" = a."end" AND b.id < a.id)) AND b."end" >= a."end")""",
     "impact": _G.replace("WITH", "WITH RECURSIVE", 1) + ", r(id, depth) AS (SELECT 50000000001, 0 UNION SELECT src, depth + 1 FROM r JOIN edges ON dst = id WHERE depth < 3) SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY id HAVING min(depth) > 0",
     "strong_components": _G.replace("WITH", "WITH RECURSIVE", 1) + ", v AS (SELECT src id FROM trade UNION SELECT dst FROM trade), r(a, b) AS (SELECT id, id FROM v UNION SELECT a, dst FROM r JOIN trade ON b = src), c AS (SELECT x.a id, min(x.b) component_id FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1) SELECT id, component_id, count(*) OVER (PARTITION BY component_id) AS size FROM c",
+    "strong_components_whole": _COMPONENTS_WHOLE,
     "source_metrics": "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, sha256(text) AS hash FROM documents",
     "change_bursts": "WITH e AS (SELECT user_id AS path, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT path, ts, sum(fresh) OVER (PARTITION BY path ORDER BY ts) AS b FROM e) SELECT path, min(ts) AS started, count(*) AS changes FROM g GROUP BY path, b",
 }

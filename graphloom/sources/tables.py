@@ -65,9 +65,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.unionByName(refs).unionByName(made).unionByName(edge(both, "Implements", ident(3, "c_custkey"), ident(4, "s_suppkey")))
 
 
-def trade(spark: SparkSession, sf_dir: str, last_order: int = 40) -> DataFrame:
-    """Sparse nation graph (src, dst): who buys from whom in the first orders, without loops."""
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") <= last_order)
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") <= last_order)
+def trade(spark: SparkSession, sf_dir: str, last_order: int | None = 40) -> DataFrame:
+    """Nation graph (src, dst): who buys from whom, without loops; in the orders up to ``last_order``, or in all of them."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    if last_order is not None:
+        li, o = li.where(F.col("l_orderkey") <= last_order), o.where(F.col("o_orderkey") <= last_order)
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return j.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).where("src <> dst").distinct()
