@@ -54,6 +54,14 @@ def _diff(s, d):
     return q.edge_diff(e.where(key % 7 != 0), e.where(key % 11 != 0))
 
 
+def _diff_whole(s, d):
+    """Snapshots by the residue of the order that an edge belongs to; edges without an order are in both."""
+    e = src.edges(s, d)
+    order = F.when(F.col("kind").isin("Calls", "References"), F.col("src")).when(F.col("kind") == "Instantiates", F.col("dst")) % src.SPAN
+    held = lambda n: e.where(F.coalesce(order % n != 0, F.lit(True)))
+    return q.edge_diff(held(7), held(11))
+
+
 def _spans(s, d):
     li = src.table(s, d, "lineitem")
     return li.select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
@@ -85,6 +93,7 @@ QUERIES = {
     "change_coupling": lambda s, d: q.change_coupling(_commits(s, d), 0.0001),
     "dead_code": lambda s, d: q.dead_code(src.nodes(s, d), src.edges(s, d), ("Class", "Function", "Interface", "Method")).select("id", "kind", "qualified_name"),
     "edge_diff": _diff,
+    "edge_diff_whole": _diff_whole,
     "overloads": lambda s, d: q.overloads(src.nodes(s, d).where("kind = 'Function'")).select("id", "overload"),
     "unenclosed_spans": lambda s, d: q.unenclosed(_spans(s, d)),
     "impact": _impact,
@@ -118,6 +127,8 @@ ORACLES = {
     "change_coupling": _COMMITS + ", u AS (SELECT DISTINCT commit, file FROM c), n AS (SELECT file, count(*) n FROM u GROUP BY 1), p AS (SELECT x.file a, y.file b, count(*) co FROM u x JOIN u y ON x.commit = y.commit AND x.file < y.file GROUP BY 1, 2 HAVING count(*) >= 0.0001::DOUBLE * (SELECT count(DISTINCT commit) FROM u)) SELECT a AS file_a, b AS file_b, co AS co_commits, round(co::DOUBLE / na.n, 6) AS conf_a_b, round(co::DOUBLE / nb.n, 6) AS conf_b_a FROM p JOIN n na ON a = na.file JOIN n nb ON b = nb.file",
     "dead_code": _G + "SELECT id, kind, qualified_name FROM nodes WHERE kind IN ('Class', 'Function', 'Interface', 'Method') AND id NOT IN (SELECT dst FROM edges)",
     "edge_diff": _G + "SELECT kind, src, dst, 'added' AS change FROM edges WHERE kind = 'Instantiates' AND dst % 10000000000 % 7 = 0 AND dst % 10000000000 % 11 <> 0 UNION ALL SELECT kind, src, dst, 'removed' FROM edges WHERE kind = 'Instantiates' AND dst % 10000000000 % 7 <> 0 AND dst % 10000000000 % 11 = 0",
+    "edge_diff_whole": _G
+    + ", e AS (SELECT *, CASE kind WHEN 'Instantiates' THEN dst WHEN 'Implements' THEN NULL ELSE src END % 10000000000 AS o FROM edges), a AS (SELECT kind, src, dst FROM e WHERE o IS NULL OR o % 7 <> 0), b AS (SELECT kind, src, dst FROM e WHERE o IS NULL OR o % 11 <> 0) SELECT *, 'added' AS change FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.kind = b.kind AND a.src = b.src AND a.dst = b.dst) UNION ALL SELECT *, 'removed' FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.kind = b.kind AND a.src = b.src AND a.dst = b.dst)",
     "overloads": _G + "SELECT id, row_number() OVER (PARTITION BY file, name, kind ORDER BY qualified_name, id) - 1 AS overload FROM nodes WHERE kind = 'Function'",
     "unenclosed_spans": """WITH s AS (SELECT l_suppkey AS file, l_partkey AS start, l_partkey + l_quantity::BIGINT AS "end", l_orderkey * 10 + l_linenumber AS id FROM lineitem) SELECT a.* FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.file = a.file AND (b.start < a.start OR b.start = a.start AND (b."end" > a."end" OR b."end" = a."end" AND b.id < a.id)) AND b."end" >= a."end")""",
     "impact": _G.replace("WITH", "WITH RECURSIVE", 1) + ", r(id, depth) AS (SELECT 50000000001, 0 UNION SELECT src, depth + 1 FROM r JOIN edges ON dst = id WHERE depth < 3) SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY id HAVING min(depth) > 0",
