@@ -42,3 +42,14 @@ def test_large_group_of_near_copies(spark, monkeypatch, per_centre):
     want = exact_links(rows)
     assert sum(n for n, _ in want.values()) > 100_000
     assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+
+
+def test_recall_of_ten_thousand_near_copies(spark):
+    """The audit, for all rows, with the centres that the query uses."""
+    rng = np.random.default_rng(11)
+    vecs = np.concatenate([rng.normal(size=64) + rng.normal(size=(10_000, 64)) * 0.1, rng.normal(size=(500, 64))])
+    x = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    exact = [int((x[i] @ x.T >= op9_near_vectors.COSINE).sum()) - 1 for i in range(len(x))]
+    assert sum(exact) > 90_000_000
+    found = op9_near_vectors.near_vectors(spark.createDataFrame([(i, v, 0) for i, v in enumerate(vecs.tolist())], "vec_id long, embedding array<double>, label int"))
+    assert op9_near_vectors.recall(found, spark.createDataFrame(list(enumerate(exact)), "vec_id long, n_links long")) == 1.0
