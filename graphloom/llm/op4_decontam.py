@@ -63,9 +63,15 @@ def align(a: list[str], b: list[str]) -> tuple[int, int, int]:
     return best
 
 
+def seed_lengths(items, seed: int) -> list[int]:
+    """Words in the seeds of the items (id, words, ...): ``seed``, and fewer where an item is that short."""
+    return sorted({min(seed, len(i[1])) for i in items})
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, list[str], list[str]]], seed: int, threshold: float):
         self.items, self.seed, self.threshold = items, seed, threshold
+        self.lengths = seed_lengths(items, seed)
         self.index: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, ws, chosen) in enumerate(items):
             want = set(chosen)
@@ -79,10 +85,10 @@ class Matcher:
         if not ws:
             return []
         found: dict[int, list[int]] = defaultdict(list)
-        short = {" ".join(ws)} if len(ws) < self.seed else ()
-        for at, g in enumerate(short or zip(*(ws[i:] for i in range(self.seed)), strict=False)):
-            for k, pos in self.index.get(g if short else " ".join(g), ()):
-                found[k].append(at - pos)
+        for n in self.lengths:
+            for at, g in enumerate(zip(*(ws[i:] for i in range(n)), strict=False)):
+                for k, pos in self.index.get(" ".join(g), ()):
+                    found[k].append(at - pos)
         out = []
         for k, diagonals in found.items():
             item, mine, chosen = self.items[k]
@@ -128,14 +134,16 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         items = [(i, ws) for i, ws in items if ws]
         wanted = spark.sparkContext.broadcast({g for _, ws in items for g in grams(ws, seed)})
 
-        def count(batches, wanted=wanted):
+        lengths = seed_lengths(items, seed)
+
+        def count(batches, wanted=wanted, lengths=lengths):
             import pyarrow as pa
 
             seen, want = Counter(), wanted.value
             for b in batches:
                 for text in b.column(0).to_pylist():
                     ws = words(text)
-                    seen.update(g for g in map(" ".join, zip(*(ws[i:] for i in range(seed)), strict=False)) if g in want)
+                    seen.update(g for n in lengths for g in map(" ".join, zip(*(ws[i:] for i in range(n)), strict=False)) if g in want)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
 
         df = {r[0]: r[1] for r in src.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n")).collect()}
