@@ -1,26 +1,38 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is split into text blocks at block-level tags.  A linear classifier over
-tag, class, length and link features gives each block the cost of calling it
+tag, name, length and link features gives each block the cost of calling it
 content or boilerplate; these become capacities to the two terminals.  Blocks
 that follow one another and blocks that are near in the tree are joined by
 smoothness edges.  The minimum cut separates content from boilerplate; it is
 found by max-flow (Dinic) after an exact reduction that fixes every block whose
 own costs outweigh all of its smoothness edges.
 
+The classifier is a logistic regression, fitted when first needed on pages that
+:func:`examples` composes of marked content and boilerplate in varied layouts.
+A container counts as boilerplate by its tag or by a word of its class, id or
+role, unless the word is negated (``no-ads``, ``has-sidebar``) or the container
+holds the page's article or most of its text: names are evidence, not a verdict.
+
 Scripts, styles, comments, the head and embedded objects never become blocks.
 Character references are decoded once, white space inside a block becomes one
 space, empty blocks vanish, content blocks are joined by a line end.  Null or
-empty html gives an empty text.  Rows stay one to one; a page is bounded by its
-own size, nothing is capped.
+empty html gives an empty text, and so does a page without a content block.
+Rows stay one to one, repeated rows and null ids included; very long pages are
+read whole, in time linear in the page but for the cut.  Columns named text or
+n_chars are replaced; of the others those asked for stay.
 """
 
 from __future__ import annotations
 
+import functools
 import html as _html
 import math
+import random
 import re
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,39 +56,60 @@ BAD_NAMES = frozenset(
 )
 GOOD_NAMES = frozenset("article content post entry main story".split())
 
-#: Weights of the linear classifier.
-BIAS, PER_LOG_WORD, PARAGRAPH, HEADING, GOOD, GOOD_NAME, BAD, LINKS, END_MARK = -1.2, 0.7, 0.8, 0.6, 2.5, 1.0, -12.0, -5.0, 0.6
+#: Parts of a name that turn the next one round, or speak of the whole page.
+NEGATING = frozenset("has no with without layout page body main wrapper single".split())
+#: A container with more than this part of the page's text is not boilerplate by its name.
+MOST = 0.5
+FEATURES = ("bias", "log words", "paragraph", "heading", "in article", "good name", "bad container", "share of links", "end mark", "two sentences")
 #: Smoothness: blocks in sequence, and nearest earlier block under the same parent.
 SEQUENCE, PROXIMITY = 0.25, 0.5
 
 
 class Block:
-    __slots__ = ("bad", "good", "heading", "link_chars", "name", "paragraph", "parent", "text")
+    __slots__ = ("bad", "chain", "good", "heading", "link_chars", "name", "paragraph", "parent", "text")
+
+
+class Element:
+    """An open or closed element: chars of text before and behind it, whether an article stands in it."""
+
+    __slots__ = ("article", "begin", "end", "firm", "good", "name", "outer", "serial", "skipped", "suspect", "tag")
+
+    def __init__(self, tag, serial, outer, good, name, skipped, suspect, firm, begin):
+        self.tag, self.serial, self.outer, self.good, self.name, self.skipped = tag, serial, outer, good, name, skipped
+        self.suspect, self.firm, self.begin, self.end, self.article = suspect, firm, begin, None, False
+
+
+def named_bad(names: list[list[str]]) -> bool:
+    """Whether a name has a word of boilerplate that no word before it turns round."""
+    return any(w in BAD_NAMES and not NEGATING.intersection(words[:i]) for words in names for i, w in enumerate(words))
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order."""
     out: list[Block] = []
-    # open elements: (tag, serial, bad, good, good name, skipped)
-    stack: list[tuple] = [("", 0, False, False, False, False)]
-    serial, pending, links, link_depth, at = 0, [], 0, 0, 0
+    root = Element("", 0, None, False, False, False, False, False, 0)
+    stack, suspects = [root], []  # suspects: elements that may be boilerplate, outer ones first
+    opened: dict[str, int] = {}
+    serial, pending, links, link_depth, at, chars = 0, [], 0, 0, 0, 0
 
     def flush() -> None:
-        nonlocal pending, links
+        nonlocal pending, links, chars
         if pending:
             text = " ".join(_html.unescape("".join(pending)).split())
             if text:
-                tag = next((e for e in reversed(stack) if e[0] not in INLINE), stack[0])
+                top = stack[-1]
+                tag = next((e for e in reversed(stack) if e.tag not in INLINE), root)
                 b = Block()
-                b.text, b.bad, b.good, b.name = text, stack[-1][2], stack[-1][3], stack[-1][4]
-                b.paragraph, b.heading = tag[0] == "p", tag[0][:1] == "h" and tag[0][1:].isdigit()
-                b.link_chars, b.parent = min(links, len(text)), stack[-2][1] if tag is stack[-1] and len(stack) > 1 else tag[1]
+                b.text, b.good, b.name, b.chain = text, top.good, top.name, top
+                b.paragraph, b.heading = tag.tag[:1] == "p" and len(tag.tag) == 1, tag.tag[:1] == "h" and tag.tag[1:].isdigit()
+                b.link_chars, b.parent = min(links, len(text)), stack[-2].serial if tag is top and len(stack) > 1 else tag.serial
+                chars += len(text)
                 out.append(b)
             pending, links = [], 0
 
     def text_until(end: int) -> None:
         nonlocal links
-        if end > at and not stack[-1][5]:
+        if end > at and not stack[-1].skipped:
             piece = page[at:end]
             pending.append(piece)
             if link_depth:
@@ -85,7 +118,10 @@ def blocks_of(page: str) -> list[Block]:
     def pop_to(k: int) -> None:
         nonlocal link_depth
         for e in stack[k:]:
-            link_depth -= e[0] == "a"
+            link_depth -= e.tag == "a"
+            opened[e.tag] -= 1
+            e.end = chars
+            stack[k - 1].article |= e.article or e.tag in GOOD_TAGS and not e.suspect
         del stack[k:]
 
     n = len(page)
@@ -105,20 +141,23 @@ def blocks_of(page: str) -> list[Block]:
             continue
         inline = tag in INLINE
         if closing:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if not inline:
                 flush()
-            if k and not (inline and any(e[0] not in INLINE for e in stack[k + 1 :])):
-                pop_to(k)
+            if opened.get(tag):
+                k = len(stack) - 1
+                while k > 0 and stack[k].tag != tag and not (inline and stack[k].tag not in INLINE):
+                    k -= 1
+                if k > 0 and stack[k].tag == tag:
+                    pop_to(k)
             continue
         if not inline:
             flush()
             if tag not in VOID:
                 shut = CLOSES.get(tag)
                 for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                    if stack[i][0] == "p" or shut and stack[i][0] in shut:
+                    if stack[i].tag == "p" or shut and stack[i].tag in shut:
                         pop_to(i)
-                    elif stack[i][0] not in INLINE:
+                    elif stack[i].tag not in INLINE:
                         break
         if tag in VOID:
             continue
@@ -130,26 +169,128 @@ def blocks_of(page: str) -> list[Block]:
             close = page.find(">", at)
             at = close + 1 if close >= 0 else n
             continue
-        _, _, bad, good, name, skip = stack[-1]
+        top = stack[-1]
         serial += 1
-        words: set[str] = set()
-        if attributes:
-            for a in ATTRIBUTE.finditer(attributes):
-                words.update(w.lower() for w in PARTS.findall(a[2]))
-        here_good = tag in GOOD_TAGS
-        bad = bad or tag in BAD_TAGS or tag == "header" and not good or (not here_good and bool(words & BAD_NAMES))
-        stack.append((tag, serial, bad, good or here_good, name or bool(words & GOOD_NAMES), skip or tag in SKIPPED))
+        names = [[w.lower() for w in PARTS.findall(name)] for a in ATTRIBUTE.finditer(attributes) for name in a[2].strip("\"'").split()] if attributes else []
+        firm = tag in BAD_TAGS and tag != "form" or tag == "header" and not top.good
+        suspect = firm or tag == "form" or tag not in ("html", "body", "main") and named_bad(names)
+        e = Element(tag, serial, top, top.good or tag in GOOD_TAGS, top.name or any(w in GOOD_NAMES for words in names for w in words), top.skipped or tag in SKIPPED, suspect, firm, chars)
+        stack.append(e)
+        opened[tag] = opened.get(tag, 0) + 1
+        if suspect:
+            suspects.append(e)
         link_depth += tag == "a"
     flush()
+    pop_to(1)
+    bad = {e.serial for e in suspects if e.firm or not e.article and e.end - e.begin <= MOST * chars}
+    within: dict[int, bool] = {0: False}
+    for b in out:
+        todo, e = [], b.chain
+        while e.serial not in within:
+            todo.append(e)
+            e = e.outer
+        known = within[e.serial]
+        for e in reversed(todo):
+            known = within[e.serial] = known or e.serial in bad
+        b.bad, b.chain = known, None
     return out
 
 
-def score(b: Block) -> float:
+def features(b: Block) -> list[float]:
+    return [
+        1.0,
+        math.log1p(b.text.count(" ") + 1),
+        float(b.paragraph),
+        float(b.heading),
+        float(b.good),
+        float(b.name),
+        float(b.bad),
+        b.link_chars / len(b.text),
+        float(b.text[-1] in ".!?…"),
+        float(len(re.findall(r"[.!?…]\s", b.text)) >= 1),
+    ]
+
+
+def examples(pages: int = 240, seed: int = 11) -> list[tuple[str, list[str]]]:
+    """Composed pages and, for each, the marks of its content blocks (other blocks have other marks)."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("bdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4))) for _ in range(400)]
+    out = []
+    for _ in range(pages):
+        marks: list[str] = []
+        count = 0
+
+        def text(low: int, high: int, content: bool, marks=marks) -> str:
+            nonlocal count
+            count += 1
+            mark = f"{'c' if content else 'x'}{count}q"
+            if content:
+                marks.append(mark)
+            words = [rng.choice(vocabulary) for _ in range(rng.randrange(low, high))]
+            for i in range(rng.randrange(6, 14), len(words), 11):
+                words[i] += "."
+            return f"{mark} {' '.join(words)}" + ("." if high > 12 and rng.random() < 0.9 else "")
+
+        link_list = lambda k, text=text: "<ul>" + "".join(f'<li><a href="/x">{text(1, 4, False)}</a></li>' for _ in range(k)) + "</ul>"
+        body = [f"<h1>{text(3, 9, True)}</h1>"]
+        for _ in range(rng.randrange(1, 7)):
+            body.append(rng.choice(["<p>{}</p>"] * 5 + ["<p><b>{}</b>", "<div>{}</div>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>"]).format(text(12, 80, True)))
+            if rng.random() < 0.2:
+                body.append(f"<h2>{text(2, 6, True)}</h2><p>{text(5, 30, True)}</p>")
+            if rng.random() < 0.15:
+                body.append(f'<div class="{rng.choice(["ad", "ad-slot", "promo", "newsletter-signup", "share-buttons"])}">{text(2, 14, False)}</div>')
+        wrap = rng.choice(["<article>{}</article>"] * 3 + ["<main>{}</main>", '<div class="post-content">{}</div>', '<div id="content">{}</div>', '<div class="content-with-sidebar"><article>{}</article></div>', "<section>{}</section>", '<form id="aspnetForm"><div>{}</div></form>'])
+        parts = [wrap.format("".join(body))]
+        extra = [
+            lambda text=text: f"<nav>{link_list(rng.randrange(3, 9))}</nav>",
+            lambda text=text: f'<div class="{rng.choice(["menu", "navbar", "breadcrumbs", "topnav menu"])}">{link_list(rng.randrange(2, 6))}</div>',
+            lambda text=text: f"<header><p>{text(1, 8, False)}</p></header>",
+            lambda text=text: f'<div class="{rng.choice(["cookie-notice", "consent", "banner alert"])}">{text(6, 25, False)}<button>{text(1, 2, False)}</button></div>',
+        ]
+        below = [
+            lambda text=text: f"<footer>{text(4, 20, False)}</footer>",
+            lambda text=text: f"<aside><h3>{text(1, 4, False)}</h3>{link_list(4)}<p>{text(8, 20, False)}</p></aside>",
+            lambda text=text: f'<div class="sidebar"><p>{text(8, 30, False)}</p>{link_list(3)}</div>',
+            lambda text=text: f'<section id="comments"><h3>{text(1, 3, False)}</h3>' + "".join(f'<div class="comment"><p>{text(5, 40, False)}</p></div>' for _ in range(rng.randrange(1, 4))) + "</section>",
+            lambda text=text: f'<div class="related">{link_list(rng.randrange(2, 5))}</div>',
+            lambda text=text: f'<form action="/s"><label>{text(1, 3, False)}</label></form>',
+            lambda text=text: f"<p>&copy; {text(2, 6, False)}</p>" if rng.random() < 0.3 else f'<div id="legal">{text(5, 15, False)}</div>',
+        ]
+        parts[:0] = [f() for f in rng.sample(extra, rng.randrange(1, 4))]
+        parts += [f() for f in rng.sample(below, rng.randrange(1, 5))]
+        names = rng.choice(["", "", ' class="has-sidebar"', ' class="layout no-ads"', ' class="single-post comment-open"', ' id="page-legal"'])
+        out.append((f"<html><head><title>t</title></head><body{names}>{''.join(parts)}</body></html>", marks))
+    return out
+
+
+def fit(pages: list[tuple[str, list[str]]], rounds: int = 60, penalty: float = 2e-3) -> list[float]:
+    """Weights of the logistic regression, by Newton's method."""
+    x, y = [], []
+    for page, marks in pages:
+        good = set(marks)
+        for b in blocks_of(page):
+            x.append(features(b))
+            y.append(float(any(w in good for w in b.text.split())))
+    a, t = np.array(x), np.array(y)
+    w = np.zeros(a.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
+        grad = a.T @ (p - t) / len(t) + penalty * w
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a / len(t) + penalty * np.eye(len(w)), grad)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w.tolist()
+
+
+@functools.lru_cache(maxsize=1)
+def default_weights() -> tuple[float, ...]:
+    return tuple(fit(examples()))
+
+
+def score(b: Block, weights) -> float:
     """Log-odds that a block is content."""
-    s = BIAS + PER_LOG_WORD * math.log1p(b.text.count(" ") + 1)
-    s += PARAGRAPH * b.paragraph + HEADING * b.heading + GOOD * b.good + GOOD_NAME * b.name + BAD * b.bad
-    s += LINKS * b.link_chars / len(b.text)
-    return s + END_MARK * (b.text[-1] in ".!?…")
+    return sum(w * f for w, f in zip(weights, features(b), strict=True))
 
 
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -231,17 +372,20 @@ def _dinic(core: list[int], gain: list[float], near: list[dict[int, float]]) ->
                     path.append(y)
                     break
                 left[x].pop()
-            else:
+            else:  # a dead end: its predecessor tries another way
                 path.pop()
+                if path:
+                    left[path[-1]].pop()
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights=None) -> str:
     if not page:
         return ""
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    logits = [score(b) for b in blocks]
+    weights = weights or default_weights()
+    logits = [score(b, weights) for b in blocks]
     soft = lambda z: math.log1p(math.exp(-abs(z))) + max(z, 0.0)
     edges, last = [], {}
     for i, b in enumerate(blocks):
@@ -257,14 +401,15 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """(id_col, *keep, text, n_chars) of every row."""
     common.small_batches(pages.sparkSession)
-    src = pages.select(F.struct(*[F.col(c) for c in (id_col, *keep)]).alias("row"), F.col(html_col).cast("string").alias("html"))
+    weights = default_weights()
+    src = pages.select(F.struct(*[pages[c] for c in (id_col, *keep) if c not in ("text", "n_chars")]).alias("row"), pages[html_col].cast("string").alias("html"))
     kind = src.schema["row"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            texts = [main_text(h) for h in b.column(1).to_pylist()]
+            texts = [main_text(h, weights) for h in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["row", "text", "n_chars"])
 
     out = src.mapInArrow(run, f"row {kind}, text string, n_chars long")
