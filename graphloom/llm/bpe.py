@@ -15,6 +15,10 @@ import heapq
 import json
 import re
 
+import numpy as np
+
+from . import words
+
 #: Words a worker remembers; beyond it the cache starts anew.
 CACHE_WORDS = 600_000
 #: Longer words are not remembered.
@@ -76,8 +80,6 @@ class IdCoder:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
     def whole(self, text: str) -> bytes:
-        import numpy as np
-
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
@@ -185,6 +187,180 @@ class HeapCounter:
         return total + self.line_end * (len(lines) - 1)
 
 
+#: Slots of a worker's table of words; a word whose slot another one takes is made anew.
+TABLE = 1 << 22
+#: Ids kept in a slot; longer words are made anew in every batch.
+KEPT = 6
+
+
+class Cut:
+    """A column's texts cut into words where cutting at blanks is safe; other rows stay whole.
+
+    ``led`` words follow a single blank, others stand at the start of a row or
+    behind a line end (``after_end``).  With ``any_blanks`` blanks are dropped by
+    the tokenizer and may stand in any number.
+    """
+
+    def __init__(self, column, any_blanks: bool):
+        data, at = words.raw(column)
+        n = len(at) - 1
+        odd = ODD_BYTE[data]
+        odd[:-1] |= (data[:-1] == 0xC2) & (data[1:] <= 0xA0)  # U+0080 to U+00A0
+        odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)  # <| may begin a special string
+        if not any_blanks:
+            blank = (data == 32) | (data == 10)
+            odd[1:] |= blank[1:] & blank[:-1]
+            odd[at[:-1][at[:-1] < len(data)]] |= blank[at[:-1][at[:-1] < len(data)]]
+            odd[at[1:][at[1:] > 0] - 1] |= blank[at[1:][at[1:] > 0] - 1]
+        full = np.diff(at) > 0
+        self.whole = np.zeros(n, bool)
+        where = np.flatnonzero(odd)
+        self.whole[np.searchsorted(at, where, side="right") - 1] = True
+        self.whole &= full
+        h, start, end = words.words(data, at, fold=any_blanks)
+        row = words.owners(at, start)
+        if self.whole.any():
+            keep = ~self.whole[row]
+            h, start, end, row = h[keep], start[keep], end[keep], row[keep]
+        self.data, self.at, self.start, self.end, self.row = data, at, start, end, row
+        first = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
+        before = data[np.maximum(start - 1, 0)] if len(row) else np.zeros(0, np.uint8)
+        self.after_end = ~first & (before == 10) & (not any_blanks)
+        self.led = ~first & (before != 10) & (not any_blanks)
+        self.key = np.where(self.led, h, words.mixed(h + words.ODD))
+
+    def word(self, i: int) -> str:
+        return self.data[self.start[i] : self.end[i]].tobytes().decode("utf-8", "replace")
+
+    def text(self, r: int) -> str:
+        return self.data[self.at[r] : self.at[r + 1]].tobytes().decode("utf-8", "replace")
+
+
+ODD_BYTE = np.zeros(256, bool)
+ODD_BYTE[:32] = True
+ODD_BYTE[10] = False
+ODD_BYTE[127] = True
+ODD_BYTE[0xC4:] = True
+
+class BatchCoder:
+    """Ids of an Arrow column of texts, word by word from a table of bounded size.
+
+    What :class:`IdCoder` gives for each text, made for a batch at once.
+    """
+
+    def __init__(self, path: str):
+        self.one = IdCoder(path)
+        self.keys = np.zeros(TABLE, np.uint64)
+        self.sizes = np.zeros(TABLE, np.uint8)
+        self.ids = np.zeros(TABLE * KEPT, np.uint32)
+        self.end = np.frombuffer(self.one.line_end, np.uint32)
+        vocab = self.one.tokenizer.get_vocab(with_added_tokens=False)
+        self.starts = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a blank, or are a line end
+        for token, i in vocab.items():
+            self.starts[i] = token[:1] == "\u0120"
+
+    def _encode(self, texts: list[str], led: bool) -> list[np.ndarray]:
+        """Ids of words that follow a blank (``led``) or not, many at a time."""
+        out: list[np.ndarray] = []
+        for a in range(0, len(texts), 4096):
+            part = texts[a : a + 4096]
+            if led and not self.one.drops_blanks:  # every id that begins with a blank begins a word
+                joined = [" " + " ".join(part[i : i + 64]) for i in range(0, len(part), 64)]
+                for e in self.one.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
+                    ids = np.array(e.ids, np.uint32)
+                    cuts = [0, *np.flatnonzero(self.starts[ids])[1:].tolist(), len(ids)]
+                    out += [ids[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+            else:
+                out += [np.array(e.ids, np.uint32) for e in self.one.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return out
+
+    def encode(self, column) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of every row."""
+        cut = Cut(column, self.one.drops_blanks)
+        slot = (cut.key & np.uint64(TABLE - 1)).astype(np.int64)
+        known = self.keys[slot] == cut.key
+        missing, where = np.unique(cut.key[~known], return_index=True)
+        long: dict[int, np.ndarray] = {}
+        if len(missing):
+            place = np.flatnonzero(~known)[where]
+            for led in (True, False):
+                some = np.flatnonzero(cut.led[place] == led)
+                for m, ids in zip(some.tolist(), self._encode([cut.word(i) for i in place[some].tolist()], led), strict=True):
+                    s = int(slot[place[m]])
+                    if len(ids) > KEPT or len(ids) == 0:
+                        long[int(missing[m])] = ids
+                    else:
+                        self.keys[s], self.sizes[s] = missing[m], len(ids)
+                        self.ids[s * KEPT : s * KEPT + len(ids)] = ids
+            known = self.keys[slot] == cut.key
+        rest = np.flatnonzero(~known).tolist()  # long words, and words that lost their slot to others of this batch
+        lost = {int(cut.key[i]): i for i in rest if int(cut.key[i]) not in long}
+        for led in (True, False):
+            some = [i for i in lost.values() if cut.led[i] == led]
+            for i, ids in zip(some, self._encode([cut.word(i) for i in some], led), strict=True):
+                long[int(cut.key[i])] = ids
+        sizes = np.where(known, self.sizes[slot], 0).astype(np.int64)
+        for i in rest:
+            sizes[i] = len(long[int(cut.key[i])])
+        lead = cut.after_end * len(self.end)
+        ends = np.cumsum(sizes + lead)
+        out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+        at = ends - sizes
+        if len(self.end):
+            for k, v in enumerate(self.end.tolist()):
+                out[at[cut.after_end] - len(self.end) + k] = v
+        kept = np.where(known, sizes, 0)
+        of = np.repeat(np.arange(len(kept)), kept)
+        k = np.arange(len(of)) - (np.cumsum(kept) - kept)[of]
+        out[at[of] + k] = self.ids[(slot * KEPT)[of] + k]
+        for i in rest:
+            out[at[i] : ends[i]] = long[int(cut.key[i])]
+        bounds = np.r_[0, ends][np.searchsorted(cut.row, np.arange(len(cut.at)))]
+        flat = out.astype("<u4").tobytes()
+        rows = [flat[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for r in np.flatnonzero(cut.whole).tolist():
+            rows[r] = self.one.whole(cut.text(r))
+        return rows
+
+
+class BatchCounter:
+    """Token counts of an Arrow column of texts, word by word from a table of bounded size, words by :class:`HeapCounter`."""
+
+    def __init__(self, path: str):
+        self.one = HeapCounter(path)
+        self.keys = np.zeros(TABLE, np.uint64)
+        self.counts = np.zeros(TABLE, np.int32)
+
+    def count(self, column) -> np.ndarray:
+        cut, one = Cut(column, False), self.one
+        slot = (cut.key & np.uint64(TABLE - 1)).astype(np.int64)
+        known = self.keys[slot] == cut.key
+        counts = np.where(known, self.counts[slot], 0).astype(np.int64)
+        open_ = np.flatnonzero(~known)
+        missing, where, back = np.unique(cut.key[open_], return_index=True, return_inverse=True)
+        if len(missing):
+            place = open_[where]
+            made = np.array([one._pieces(f" {cut.word(i)}" if cut.led[i] else cut.word(i)) for i in place.tolist()], np.int64)
+            counts[open_] = made[back]
+            self.keys[slot[place]], self.counts[slot[place]] = missing, made
+        counts += cut.after_end * one.line_end
+        total = np.r_[0, np.cumsum(counts)][np.searchsorted(cut.row, np.arange(len(cut.at)))]
+        out = np.diff(total)
+        for r in np.flatnonzero(cut.whole).tolist():
+            out[r] = one.count(cut.text(r))
+        return out
+
+
+@functools.lru_cache(maxsize=4)
+def batch_coder(path: str) -> BatchCoder:
+    return BatchCoder(path)
+
+
+@functools.lru_cache(maxsize=4)
+def batch_counter(path: str) -> BatchCounter:
+    return BatchCounter(path)
+
+
 @functools.lru_cache(maxsize=4)
 def id_coder(path: str) -> IdCoder:
     return IdCoder(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,13 +33,16 @@ def width(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where it is unset, as in tests on one machine, a temporary folder is set.
+    Where it is unset a temporary folder is set, on one machine only: elsewhere
+    executors would not share it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="graphloom-")
             spark.sparkContext.setCheckpointDir(base)
@@ -57,7 +61,9 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -66,9 +72,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def kept_path(df: DataFrame) -> str:
-    """The folder of a table that :func:`written` returned."""
-    return df.inputFiles()[0].rpartition("/")[0]
+def dropped(*tables: DataFrame | None) -> None:
+    """Remove tables that :func:`written` returned, once nothing reads them any more."""
+    for df in tables:
+        path = df is not None and getattr(df, "kept_at", None)
+        if path:
+            remove_path(df.sparkSession, path)
 
 
 class Forest:
@@ -111,14 +120,41 @@ def thinned(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(thin, "u long, v long")
 
 
-def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges that one task labels at once (some 200 MB); more are worked off by rounds of joins, to the same result.
+TASK_EDGES = 2_000_000
+
+
+def labelled(u, v):
+    """Ids and their smallest reachable ids, by hooking roots and pointer jumping over arrays of edges."""
+    import numpy as np
+
+    ids, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = flat[: len(u)], flat[len(u) :]
+    parent = np.arange(len(ids))
+    while True:
+        x, y = parent[a], parent[b]
+        low, high = np.minimum(x, y), np.maximum(x, y)
+        apart = low != high
+        if not apart.any():
+            return ids, ids[parent]
+        np.minimum.at(parent, high[apart], low[apart])
+        while True:  # roots only point to smaller roots
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+
+
+def components(pairs: DataFrame, a: str = "a", b: str = "b", task_edges: int | None = None) -> DataFrame:
     """Smallest reachable id of every id that occurs in ``pairs``.
 
-    Alternates large-star and small-star steps (Kiveris et al., "Connected
-    Components in MapReduce and Beyond") until the edges stop changing; the
-    number of rounds grows with the logarithm of a component's size.  Edges are
-    written after every round, so lineage stays short.  A node's neighbours
-    meet only in aggregates (``min``), never in one list.
+    Each task first drops edges that its others imply.  What is left is labelled
+    in one task if it is at most ``TASK_EDGES`` edges; else large-star and
+    small-star steps (Kiveris et al., "Connected Components in MapReduce and
+    Beyond") alternate until the edges stop changing; the number of rounds grows
+    with the logarithm of a component's size.  Edges are written after every
+    round, so lineage stays short.  A node's neighbours meet only in aggregates
+    (``min``), never in one list.
 
     Returns (id, component_id), the smallest id of a component included.
     """
@@ -126,11 +162,27 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     edges = thinned(edges.select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")))
     edges = written(thinned(edges.distinct()), "edges")
+    if edges.count() <= (TASK_EDGES if task_edges is None else task_edges):
+
+        def solve(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            cols = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+            if cols:
+                ids, low = labelled(np.concatenate([x for x, _ in cols]), np.concatenate([y for _, y in cols]))
+                for k in range(0, len(ids), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 100_000]), pa.array(low[k : k + 100_000])], ["id", "component_id"])
+
+        out = written(edges.coalesce(1).mapInArrow(solve, "id long, component_id long"), "components")
+        dropped(edges)
+        return out
+    return _by_stars(edges)
+
+
+def _by_stars(edges: DataFrame) -> DataFrame:
     state = None
     while True:
-        old = kept_path_or_none(edges)
-        if old is None:
-            break
         # large star: larger neighbours of every node point to its smallest one
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -139,8 +191,9 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low2, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low2.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "edges")
-        remove_path(spark, old)
+        new = written(small, "edges")
+        dropped(edges)
+        edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == tuple(now):
             break
@@ -148,8 +201,3 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = edges.groupBy("u").agg(F.min("v").alias("component_id")).select(F.col("u").alias("id"), "component_id")
     roots = edges.select(F.col("v").alias("id")).distinct().join(edges.select(F.col("u").alias("id")), "id", "left_anti")
     return labels.union(roots.select("id", F.col("id").alias("component_id")))
-
-
-def kept_path_or_none(df: DataFrame) -> str | None:
-    files = df.inputFiles()
-    return files[0].rpartition("/")[0] if files and df.limit(1).count() else None

@@ -3,14 +3,16 @@
 Null and empty texts count 0.  Every row of the input gives one row; repeated
 rows and null ids are kept as they are.  Other columns of the input are left
 out.  The operator is a map without any shuffle: a task holds one Arrow batch of
-texts and a bounded cache of words.
+texts, very long ones whole, and a table of words of bounded size, in which each
+word is merged once and then looked up.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common
+from . import bpe, common, words
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -24,10 +26,10 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def count(batches):
         import pyarrow as pa
 
-        counter = bpe.heap_counter(path)
+        counter = bpe.batch_counter(path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode("utf-8")) if t else 0 for t in texts], pa.int64()), pa.array([counter.count(t) for t in texts], pa.int64())], ["id", "n_bytes", "n_tokens"])
+            _, at = words.raw(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(counter.count(b.column(1)))], ["id", "n_bytes", "n_tokens"])
 
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     out = src.mapInArrow(count, "id long, n_bytes long, n_tokens long")

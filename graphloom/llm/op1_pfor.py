@@ -19,7 +19,9 @@ block starts lets a reader fetch any range of ids without the rest.
 
 Null text counts as empty (the end id alone).  A null id is written as the
 smallest 64-bit integer and comes first; rows with the same id follow one
-another.  An empty table gives no file and an empty result.
+another in the order of a hash of their text, equal rows one after the other.
+Very long texts are written whole, a segment at a time.  Columns other than id
+and text are left out.  An empty table gives no file and an empty result.
 """
 
 from __future__ import annotations
@@ -221,7 +223,7 @@ def write_pfor(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         import pyarrow as pa
         from pyspark import TaskContext
 
-        coder, writer, sink = bpe.id_coder(tok), None, None
+        coder, writer, sink = bpe.batch_coder(tok), None, None
         no = TaskContext.get().partitionId()
         name = f"part-{no:06d}-{uuid.uuid4().hex}.pfor"
         for b in batches:
@@ -232,8 +234,8 @@ def write_pfor(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 files.create_dir(at, recursive=True)
                 sink = files.open_output_stream(f"{at}/{name}")
                 writer = PforWriter(sink)
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                writer.add(doc, coder.encode(text) + end)
+            for doc, ids in zip(b.column(0).to_pylist(), coder.encode(b.column(1)), strict=True):
+                writer.add(doc, ids + end)
         if writer is not None:
             writer.close()
             sink.close()
@@ -241,7 +243,9 @@ def write_pfor(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
     n = partitions or common.width(spark)
-    manifest = src.repartitionByRange(n, "id").sortWithinPartitions("id").mapInArrow(write, "file_no int, file string, n_docs long, n_ids long")
+    # rows that share an id, or lack one, are spread and ordered by a hash of their text
+    order = ("id", F.xxhash64("text"))
+    manifest = src.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(write, "file_no int, file string, n_docs long, n_ids long")
     return common.written(manifest, "pfor-manifest")
 
 

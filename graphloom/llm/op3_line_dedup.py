@@ -1,16 +1,22 @@
 """Line deduplication by an exact set-similarity join.
 
-Lines are what stands between ``\\n``.  A line's set holds its distinct 5-word
-shingles (A-Z lower-cased); a line of fewer words has all of them as its one
-token, and only lines without a word are never compared.  Tokens are ordered by
-rarity; prefix, length and positional filters (PPJoin: Xiao et al., WWW 2008)
-leave candidates whose Jaccard similarity is then computed.  A line that matches an earlier line, in the order (id, line number),
-at 0.8 or more is removed, whether or not the earlier one was removed itself.
+Lines are what stands between ``\\n``.  A line's tokens are its distinct 5-word
+shingles (A-Z lower-cased): near-duplicate operators here go by five words and a
+Jaccard similarity of 0.8.  A line of fewer words has all of them as its one
+token, so it matches only lines of the same words; only lines without a word are
+never compared.  :mod:`setjoin` orders tokens by rarity over all lines and
+brings lines that share a prefix token into slices.  There the prefix, length
+and positional filters (PPJoin: Xiao et al., WWW 2008) leave candidates whose
+Jaccard similarity is then verified.  A line that matches an earlier one, in the
+order (id, line number), at 0.8 or more is removed, whether or not the earlier
+one was removed itself.
 
 Equal line sets are one class that takes part with its first occurrence.  Rows
-with a null id stay as they are and are not compared.  Null text stays null.
-Repeated rows (same id and text) count as one and are all kept, cleaned alike.
-A document that loses all its lines keeps an empty text.  All columns stay.
+with a null id stay as they are and are not compared.  Null text stays null, an
+empty one empty; very long texts and lines are compared whole.  Repeated rows
+(same id and text) count as one and are all kept, cleaned alike; rows that share
+an id but not a text are ordered by the hash of their text.  A document that
+loses all its lines keeps an empty text.  All columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,126 +25,129 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, setjoin
-from .op5_ngram_join import PERCENT, SHINGLE, shared, words_of
+from . import common, setjoin, words
+from .op5_ngram_join import PERCENT, SHINGLE, slice_columns
 
-MIN_WORDS = 1
 
+def matched_earlier(ids: list[int], sizes: list[int], lengths: list[int], sets: list[list[int]], asks: list[bool], percent: int) -> list[int]:
+    """Ids of the sets that ask and match one with a smaller id (PPJoin over ids in order).
+
+    ``sets`` hold the shared tokens in the order of rarity, ``lengths`` how many
+    of them the prefix holds, ``sizes`` all tokens.
+    """
+    index: dict[int, list[tuple[int, int]]] = {}  # token -> (set, place of the token from the end)
+    whole: dict[int, frozenset[int]] = {}
+    out = []
+
+    def tokens_of(r: int) -> frozenset[int]:
+        if r not in whole:
+            whole[r] = frozenset(sets[r])
+        return whole[r]
+
+    def match(q: int, r: int) -> bool:
+        n, m = sizes[q], sizes[r]
+        return min(n, m) * 100 >= percent * max(n, m) and setjoin.linked(len(tokens_of(q) & tokens_of(r)), n, m, percent)
 
-def matched_earlier(ids: list[int], sets: list[np.ndarray], counts: np.ndarray, percent: int) -> list[int]:
-    """Ids of the sets that match one with a smaller id (PPJoin over ids in order)."""
-    index: dict[int, list[tuple[int, int]]] = {}  # token -> (set, place of the token in its order)
-    out, last = [], -1
     for q in sorted(range(len(ids)), key=ids.__getitem__):
-        mine = sets[q]
-        n = len(mine)
-        order = setjoin.by_rarity(mine, counts)
-        prefix = order[: n - setjoin.overlap_needed(n, percent) + 1].tolist()
-
-        def match(r: int, mine=mine, n=n) -> bool:
-            m = len(sets[r])
-            need = -(-percent * (n + m) // (100 + percent))
-            return min(n, m) * 100 >= percent * max(n, m) and shared(mine, sets[r], 0, need) >= need
-
-        hit = last >= 0 and match(last)
-        if not hit:  # the newest of each list first: near copies end here
-            hit = any(match(r) for r in {index[t][-1][0] for t in prefix if t in index})
-        if not hit:
-            seen: dict[int, int] = {}
-            for i, t in enumerate(prefix):
-                for r, j in index.get(t, ()):
-                    m = len(sets[r])
-                    if min(n, m) * 100 < percent * max(n, m):
-                        continue  # length filter
-                    need = -(-percent * (n + m) // (100 + percent))
-                    a = seen.get(r, 0)
-                    # positional filter: what is shared so far and could still come
-                    seen[r] = a + 1 if a >= 0 and a + 1 + min(n - i - 1, m - j - 1) >= need else -(10**9)
-            hit = any(a > 0 and match(r) for r, a in seen.items())
-        if hit:
-            out.append(ids[q])
-        else:
-            last = q
+        mine, n = sets[q], sizes[q]
+        prefix = mine[: lengths[q]]
+        if asks[q]:
+            near = {index[t][-1][0] for t in prefix if t in index}  # the newest of each list first: near copies end here
+            hit = any(match(q, r) for r in near)
+            if not hit:
+                seen: dict[int, int] = {}
+                for i, t in enumerate(prefix):
+                    for r, behind in index.get(t, ()):
+                        m = sizes[r]
+                        if r in near or min(n, m) * 100 < percent * max(n, m):
+                            continue  # length filter
+                        a = seen.get(r, 0)
+                        # positional filter: what is shared so far and could still come
+                        seen[r] = a + 1 if a >= 0 and (a + 1 + min(len(mine) - i - 1, behind)) * (100 + percent) >= percent * (n + m) else -1
+                hit = any(a > 0 and match(q, r) for r, a in seen.items())
+            if hit:
+                out.append(ids[q])
         for i, t in enumerate(prefix):
-            index.setdefault(t, []).append((q, i))
+            index.setdefault(t, []).append((q, len(mine) - i - 1))
     return out
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = setjoin.ROUNDS) -> DataFrame:
     """(id, key, lines): numbers of the lines that go, per document and hash of its text."""
     spark = docs.sparkSession
     common.small_batches(spark)
 
+    def make(b):
+        data, at = words.raw(b.column(2))
+        h, start, _ = words.words(data, at)
+        ends = np.flatnonzero(data == 10)
+        row = words.owners(at, start)
+        line = np.searchsorted(ends, start) + row  # lines of all rows, one after the other
+        count = len(ends) + b.num_rows
+        tokens, offsets = words.sets_of(h, line, count, shingle)
+        before = np.searchsorted(ends, at[:-1])  # lines of the rows before
+        of = np.repeat(np.arange(b.num_rows), np.diff(np.r_[before, len(ends)]) + 1)
+        meta = np.zeros(count, setjoin.META)
+        meta["id"], meta["key"] = b.column(0).to_numpy()[of], b.column(1).to_numpy()[of]
+        meta["line"] = np.arange(count) - (before + np.arange(b.num_rows))[of]
+        meta["n"] = np.diff(offsets)
+        d = words.digests(tokens, offsets)
+        meta["d0"], meta["d1"] = d[:, 0], d[:, 1]
+        return meta, tokens, offsets
+
     def measure(batches):
         import pyarrow as pa
 
-        names, kinds = ["id", "key", "line", "digest", "n", "sketch"], (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
-        total = np.zeros(setjoin.SKETCH, np.int64)
+        names = ["id", "key", "line", "n", "digest", "sets", "token", "times"]
         for b in batches:
-            rows, found = [], []
-            for i, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for no, line in enumerate(text.split("\n")):
-                    ws = words_of(line)
-                    if len(ws) >= min_words:
-                        rows.append((i, key, no))
-                        found.append(ws)
-            if rows:
-                tokens, at = setjoin.many_sets(found, shingle)
-                setjoin.add_to_sketch(total, tokens)
-                cols = [*zip(*rows, strict=True), setjoin.many_digests(tokens, at), np.diff(at), [None] * len(rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-        last = (None, None, None, None, None, setjoin.sketch_row(total))
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(last, kinds, strict=True)], names)
-
-    def pick(batches):
-        """Text of the lines that stand for their class."""
+            for meta, tokens, _ in setjoin.chunks([b], make, False):
+                digest = setjoin._binary(np.stack([meta["d0"], meta["d1"]], 1).reshape(-1), np.arange(1, len(meta) + 1) * 2)
+                yield pa.RecordBatch.from_arrays([pa.array(meta[c]) for c in ("id", "key", "line", "n")] + [digest, *(pa.nulls(len(meta), pa.int64()) for _ in range(3))], names)
+                hot, times = setjoin.hot_here(tokens, len(meta))
+                extra = [pa.array([len(meta)] + [None] * len(hot), pa.int64()), pa.array([None, *hot.tolist()], pa.int64()), pa.array([None, *times.tolist()], pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1 + len(hot), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())] + extra, names)
+
+    text = docs[text_col].cast("string")
+    src = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    measured = common.written(src.mapInArrow(measure, "id long, key long, line int, n int, digest binary, sets long, token long, times long"), "lines")
+    lines = measured.where("id IS NOT NULL")
+    total = lines.agg(F.sum("n")).first()[0] or 0
+    shared = setjoin.shared_tokens(src, make, total, setjoin.hot_tokens(measured.where("id IS NULL").select("sets", "token", F.col("times").alias("n"))))
+    sets = setjoin.classes(setjoin.candidates(shared, percent), numbered=True)
+    common.dropped(shared)
+
+    def work(t):
         import pyarrow as pa
 
-        for b in batches:
-            ats, texts = [], []
-            for text, firsts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                lines = text.split("\n")
-                ats += [f["at"] for f in firsts]
-                texts += [lines[f["line"]] for f in firsts]
-            yield pa.RecordBatch.from_arrays([pa.array(ats, pa.int64()), pa.array(texts, pa.string())], ["at", "text"])
-
-    src = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    measured = common.written(src.mapInArrow(measure, "id long, key long, line int, digest binary, n long, sketch binary"), "lines")
-    lines = measured.where("sketch IS NULL").drop("sketch")
-    first = setjoin.collapse(lines, "digest", "id", "key", "line", "n").select("digest", "first.*")
-    # numbers in the order of occurrence: range-sorted, then counted per partition
-    first = first.repartitionByRange(common.width(spark), "id", "key", "line").sortWithinPartitions("id", "key", "line").withColumn("at", F.monotonically_increasing_id())
-    first = common.written(first, "line-classes")
-    # a set of one token matches only equal sets (1 / 2 is less than the threshold): its class needs no search
-    sought = first.where("n > 1") if percent > 50 else first
-    firsts = common.written(sought.groupBy("id", "key").agg(F.collect_list(F.struct("line", "at")).alias("firsts")), "line-firsts")
-    texts = common.written(src.join(firsts, ["id", "key"]).select("text", "firsts").mapInArrow(pick, "at long, text string"), "line-texts")
-    counts = setjoin.rarity(measured)
-    held = spark.sparkContext.broadcast(counts)
-    weights = sought.select(F.col("at").alias("id"), "n")
-    tasks = setjoin.candidate_tasks(texts.withColumnRenamed("at", "id"), words_of, shingle, weights, counts, percent)
-
-    def search(pdf):
-        import pandas as pd
-
-        pdf = pdf.drop_duplicates("at")
-        tokens, at = setjoin.many_sets([words_of(t) for t in pdf["text"]], shingle)
-        return pd.DataFrame({"at": matched_earlier(pdf["at"].tolist(), np.split(tokens, at[1:-1]), held.value, percent)}, dtype="int64")
-
-    gone = texts.join(tasks.withColumnRenamed("id", "at"), "at").groupBy("task").applyInPandas(search, "at long").distinct()
-    gone = common.written(gone.withColumn("gone", F.lit(True)), "gone-lines")
-    marks = first.join(gone, "at", "left").select("digest", F.struct("id", "key", "line").alias("first"), "gone")
+        sid, n, length, tokens, _, asks = slice_columns(t)
+        gone = matched_earlier(sid, n, length, tokens, asks, percent)
+        if gone:
+            return pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["sid"])
+
+    found = setjoin.join_sets(sets, work, True, percent, "sid long", lambda f: f.distinct(), rounds)
+    first = lines.groupBy("digest").agg(F.min(F.struct("id", "key", "line")).alias("first"), F.count("*").alias("times"))
+    if found is None:
+        first = first.withColumn("gone", F.lit(None).cast("boolean"))
+    else:
+        first = first.join(sets.join(found.distinct(), "sid").select("digest", F.lit(True).alias("gone")), "digest", "left")
+    marks = first.where("gone OR times > 1")  # all other lines stay
     all_lines = lines.select("id", "key", "line", "digest").join(marks, "digest")
     out = all_lines.where("gone OR first.id <> id OR first.key <> key OR first.line <> line")
-    return common.written(out.groupBy("id", "key").agg(F.collect_set("line").alias("lines")), "removed-lines")
+    result = common.written(out.groupBy("id", "key").agg(F.array_sort(F.collect_set("line")).alias("lines")), "removed-lines")
+    common.dropped(measured, sets)
+    return result
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with the text cleaned, all columns and rows kept."""
-    gone = removed_lines(docs, id_col, text_col, **how).select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("lines").alias("__lines"))
-    joined = docs.join(gone, (docs[id_col].cast("long") == gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__key"]), "left")
-    kept = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda _, i: ~F.array_contains(gone["__lines"], i)), "\n")
-    return joined.select(*[F.when(gone["__lines"].isNotNull(), kept).otherwise(docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    gone = removed_lines(docs, id_col, text_col, **how)
+    text = docs[text_col].cast("string")
+    named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("key"))
+    joined = named.join(gone, ["id", "key"], "left")
+    # numbers of removed lines as keys of a map: one look-up a line
+    marked = joined.withColumn("marks", F.map_from_arrays("lines", F.transform("lines", lambda _: F.lit(True))))
+    kept = F.array_join(F.filter(F.split(F.col("row")[text_col], "\n", -1), lambda _, i: F.col("marks")[i].isNull()), "\n")
+    return marked.select(*(F.when(F.col("lines").isNotNull(), kept).otherwise(F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,134 +2,200 @@
 
 A document's set holds its distinct 5-word shingles (words between ASCII white
 space, A-Z lower-cased).  A match of a set of n shingles shares at least T =
-ceil(0.8 n) of them.  DivideSkip (Li, Lu, Lu, ICDE 2008): of the inverted lists
-of a query's shingles the T - 1 longest are set aside; the short ones are merged
-with a heap, and every document found is probed in the long ones by binary
-search until it reaches or can no longer reach the required overlap.
-
-Documents with equal sets are one class, which takes part once.  Within a
-candidate group (:mod:`setjoin`) links between documents that are connected
-already are not looked for, so a group yields a spanning forest of its links,
-at most one row a document.  Shingles are compared by 64-bit hashes.
-
-Null, empty and blank texts have an empty set and are linked with nothing.  Null
-ids give rows whose component is that of their class's smallest id, or null.
-Repeated rows are kept.  Columns other than id and text are left out.
+ceil(0.8 n) of them.  :mod:`setjoin` brings sets that may match into slices.
+There every set is a query against the inverted lists of the slice, by
+DivideSkip (Li, Lu, Lu, ICDE 2008): L of the query's lists, the longest, are set
+aside, L by the cost rule T / (MU log2 M + 1) with M the longest list's length;
+the others are merged with a heap, and a document met there at least T - L times
+is sought in the long lists by binary search until it has, or can no longer
+have, the overlap that its size asks for.
+
+Lists are kept apart by the component that their members have already, so a
+query merges no list of its own component and leaves a component with the first
+link: a group of near copies yields a spanning forest, never all its pairs.
+
+Documents with equal sets are one class, which takes part once.  Null, empty and
+blank texts have an empty set and are linked with nothing; very long texts are
+whole sets like others.  Rows that share an id but not a text are one vertex for
+each text: their links are joined under the id, and each row has its own number
+of shingles.  Null ids give rows whose component is that of their class, or
+null.  Repeated rows are kept.  Columns other than id and text are left out.
 """
 
 from __future__ import annotations
 
 import heapq
-from itertools import groupby
+import math
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, setjoin
+from . import common, setjoin, words
 
 SHINGLE = 5
 PERCENT = 80
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Cost of a binary search against one of a merge step, in the rule for L.
+MU = 0.01
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8").translate(LOWER).split() if text else []
+def long_lists(need: int, longest: int) -> int:
+    """How many of a query's lists are probed instead of merged."""
+    return max(0, min(need - 1, int(need / (MU * math.log2(longest + 1) + 1))))
 
 
-def shared(query: np.ndarray, other: np.ndarray, found: int, need: int) -> int:
-    """found + tokens of ``query`` that binary search finds in ``other``; -1 once ``need`` is out of reach."""
-    for at in range(0, len(query), 256):
-        part = query[at : at + 256]
-        place = np.minimum(np.searchsorted(other, part), len(other) - 1)
-        found += int((other[place] == part).sum())
-        if found + len(query) - at - len(part) < need:
-            return -1
-    return found
+class Lists:
+    """Inverted lists of a slice, kept apart by the root that a set had when it was added."""
 
+    def __init__(self, sizes: list[int], roots: list[int], percent: int):
+        self.sizes, self.percent = sizes, percent
+        self.parent = {r: r for r in roots}
+        self.lists: dict[int, dict[int, list[int]]] = {}
 
-def forest(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect what all links of these sets connect."""
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))  # lists then stay ascending
-    ids, sets = [ids[i] for i in order], [sets[i] for i in order]
-    parent = list(range(len(ids)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
+    def root(self, x: int) -> int:
+        parent = self.parent
+        while (p := parent[x]) != x:
+            parent[x] = parent[p]
             x = parent[x]
         return x
 
-    values, freq = np.unique(np.concatenate(sets), return_counts=True)
-    lists: dict[int, dict[int, list[int]]] = {}  # token -> root when added -> sets
+    def add(self, i: int, root: int, tokens: list[int]) -> None:
+        for t in tokens:
+            self.lists.setdefault(t, {}).setdefault(root, []).append(i)
+
+    def matches(self, n: int, tokens: list[int], own: int):
+        """A set of every other component that the query (of n tokens, some of them shared) is linked with."""
+        by_root: dict[int, list[list[list[int]]]] = {}
+        for t in tokens:
+            here: dict[int, list[list[int]]] = {}
+            for k, ids in self.lists.get(t, {}).items():
+                if (r := self.root(k)) != own:
+                    here.setdefault(r, []).append(ids)
+            for r, runs in here.items():
+                by_root.setdefault(r, []).append(runs)
+        need = setjoin.overlap_needed(n, self.percent)
+        for runs in by_root.values():
+            if len(runs) < need:
+                continue
+            runs.sort(key=lambda parts: sum(map(len, parts)))
+            probed = long_lists(need, sum(map(len, runs[-1])))
+            short, long = runs[: len(runs) - probed], runs[len(runs) - probed :]
+            last, times = -1, 0
+            for i in heapq.merge(*(ids for parts in short for ids in parts), [len(self.sizes)]):
+                if i == last:
+                    times += 1
+                    continue
+                if last >= 0 and times >= need - probed and self._probe(n, last, times, long):
+                    yield last
+                    break
+                last, times = i, 1
+
+    def _probe(self, n: int, i: int, times: int, long: list[list[list[int]]]) -> bool:
+        m = self.sizes[i]
+        least = -(-self.percent * (n + m) // (100 + self.percent))
+        for left, parts in zip(range(len(long), 0, -1), long, strict=True):
+            if times >= least or times + left < least:
+                break
+            for ids in parts:
+                k = bisect_left(ids, i)
+                if k < len(ids) and ids[k] == i:
+                    times += 1
+                    break
+        return times >= least
+
+
+def forest(ids: list[int], sizes: list[int], sets: list[list[int]], roots: list[int], asks: list[bool], percent: int) -> list[tuple[int, int]]:
+    """Links that connect whatever links of the sets that ask connect; ``roots`` are known components."""
+    order = sorted(range(len(ids)), key=lambda i: (asks[i], sizes[i], ids[i]))
+    index = Lists([sizes[i] for i in order], roots, percent)
+    held: dict[int, int] = {}
+    for i in order:
+        for t in sets[i]:
+            held[t] = held.get(t, 0) + 1
     links = []
-    for q in range(len(ids)):
-        mine = sets[q]
-        n = len(mine)
-        need = setjoin.overlap_needed(n, percent)
-        times = freq[np.searchsorted(values, mine)]
-        ordered = mine[np.argsort(times, kind="stable")]
-        short, long = ordered[: n - need + 1].tolist(), np.sort(ordered[n - need + 1 :])
-
-        def check(r: int, count: int, probe: np.ndarray, q=q, n=n, need=need) -> None:
-            if root(r) != root(q) and len(sets[r]) >= need:
-                got = shared(probe, sets[r], count, need)
-                if got >= 0 and setjoin.linked(got, n, len(sets[r]), percent):
-                    links.append((ids[q], ids[r]))
-                    parent[root(q)] = root(r)
-
-        runs = [(k, run) for t in short for k, run in lists.get(t, {}).items()]
-        for k in dict.fromkeys(root(k) for k, _ in runs):  # a component's newest set first: near copies end here
-            newest = max((run[-1] for o, run in runs if root(o) == k), default=None)
-            if newest is not None:
-                check(newest, 0, mine)
-        rest = [run for k, run in runs if root(k) != root(q)]
-        for r, same in groupby(heapq.merge(*rest)):
-            check(r, sum(1 for _ in same), long)
-        top = root(q)
-        for t in mine[times > 1].tolist():  # a token of one set finds nothing
-            lists.setdefault(t, {}).setdefault(top, []).append(q)
+    for at, i in enumerate(order):
+        mine = [t for t in sets[i] if held[t] > 1]  # a token of one set finds nothing
+        if asks[i] and at:
+            for other in index.matches(sizes[i], mine, index.root(roots[i])):
+                links.append((ids[i], ids[order[other]]))
+                index.parent[index.root(roots[i])] = index.root(roots[order[other]])
+        index.add(at, index.root(roots[i]), mine)
     return links
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def slice_columns(t):
+    """A slice's rows, every sid once: sids, sizes, prefix lengths, token lists, components, who asks."""
+    sid = t.column("sid").to_numpy()
+    asks = t.column("asks").to_numpy()
+    order = np.lexsort((~asks, sid))
+    keep = order[np.r_[True, sid[order][1:] != sid[order][:-1]]] if len(order) else order
+    tokens = t.column("tokens").take(keep).to_pylist()
+    pick = lambda c: t.column(c).to_numpy()[keep].tolist()
+    return pick("sid"), pick("n"), pick("plen"), [np.frombuffer(x, np.int64).tolist() for x in tokens], pick("comp"), asks[keep].tolist()
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = setjoin.ROUNDS) -> DataFrame:
     """(id_col, n_shingles, component_id) of every row."""
-    common.small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    common.small_batches(spark)
+
+    def make(b):
+        data, at = words.raw(b.column(1))
+        h, start, _ = words.words(data, at)
+        tokens, ends = words.sets_of(h, words.owners(at, start), b.num_rows, shingle)
+        meta = np.zeros(b.num_rows, setjoin.META)
+        meta["id"] = b.column(0).fill_null(0).to_numpy()
+        meta["n"] = np.diff(ends)
+        d = words.digests(tokens, ends)
+        meta["d0"], meta["d1"] = d[:, 0], d[:, 1]
+        return meta, tokens, ends
 
     def measure(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        names, total = ["id", "n", "digest", "sketch"], np.zeros(setjoin.SKETCH, np.int64)
+        names = ["id", "n", "digest", "sets", "token", "times"]
         for b in batches:
-            tokens, at = setjoin.many_sets([words_of(t) for t in b.column(1).to_pylist()], shingle)
-            setjoin.add_to_sketch(total, tokens)
-            digests = pa.array(setjoin.many_digests(tokens, at), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), digests, pa.nulls(b.num_rows, pa.binary())], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([setjoin.sketch_row(total)], pa.binary())], names)
+            meta, tokens, _ = make(b)
+            full = meta["n"] > 0
+            digest = setjoin._binary(np.stack([meta["d0"], meta["d1"]], 1).reshape(-1), np.arange(1, len(meta) + 1) * 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(meta["n"].astype(np.int64)), pc.if_else(pa.array(full), digest, None), *(pa.nulls(len(meta), pa.int64()) for _ in range(3))], names)
+            hot, times = setjoin.hot_here(tokens, int(full.sum()))
+            extra = [pa.array([int(full.sum())] + [None] * len(hot), pa.int64()), pa.array([None, *hot.tolist()], pa.int64()), pa.array([None, *times.tolist()], pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1 + len(hot), k) for k in (pa.int64(), pa.int64(), pa.binary())] + extra, names)
 
-    # sets are made anew where they are needed: cheaper than keeping and shuffling them
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    measured = common.written(src.mapInArrow(measure, "id long, n long, digest binary, sketch binary"), "shingles")
-    rows = measured.where("sketch IS NULL").drop("sketch")
-    first = setjoin.collapse(rows.where("id IS NOT NULL"), "digest", "id", "n").select("digest", F.col("first.id").alias("rep"), F.col("first.n").alias("n"))
-    first = common.written(first, "classes")
-    weights = first.select(F.col("rep").alias("id"), "n").groupBy("id").agg(F.max("n").alias("n"))
-    texts = src.where("id IS NOT NULL AND text IS NOT NULL")
-    tasks = setjoin.candidate_tasks(texts, words_of, shingle, weights, setjoin.rarity(measured), percent, weights.select("id"))
-    members = src.join(tasks, "id")
-
-    def search(pdf):
-        import pandas as pd
-
-        pdf = pdf.drop_duplicates("id")
-        tokens, at = setjoin.many_sets([words_of(t) for t in pdf["text"]], shingle)
-        links = forest(pdf["id"].tolist(), np.split(tokens, at[1:-1]), percent)
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-
-    links = common.written(members.groupBy("task").applyInPandas(search, "a long, b long"), "links")
+    measured = common.written(src.mapInArrow(measure, "id long, n long, digest binary, sets long, token long, times long"), "shingles")
+    rows = measured.where("n IS NOT NULL").select("id", "n", "digest")
+    reported = measured.where("sets IS NOT NULL OR token IS NOT NULL").select("sets", "token", F.col("times").alias("n"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    shared = setjoin.shared_tokens(src.where("id IS NOT NULL AND text IS NOT NULL"), make, total, setjoin.hot_tokens(reported))
+    sets = setjoin.classes(setjoin.candidates(shared, percent), numbered=False)
+    common.dropped(shared)
+
+    def work(t):
+        import pyarrow as pa
+
+        sid, n, _, tokens, comp, asks = slice_columns(t)
+        links = forest(sid, n, tokens, comp, asks, percent)
+        if links:
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+    def state_of(found):
+        return common.components(found).select(F.col("id").alias("sid"), "component_id")
+
+    # an id with several texts is one vertex: its classes are tied together
+    ids = rows.where("id IS NOT NULL AND digest IS NOT NULL")
+    first = ids.groupBy("digest").agg(F.min("id").alias("rep"))
+    ties = ids.groupBy("id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select("id")
+    ties = ids.join(ties, "id").select("id", "digest").distinct().join(first, "digest").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    links = setjoin.join_sets(sets, work, False, percent, "a long, b long", state_of, rounds)
+    common.dropped(sets)
+    links = ties if links is None else links.union(ties)
     of = first.join(common.components(links).select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     of = of.select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    out = rows.select("id", "n", "digest").join(of, "digest", "left")
+    out = rows.join(of, "digest", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 

@@ -12,7 +12,8 @@ table and per-partition counts, so a length that holds a third of all documents
 is still spread over tasks, and no row ever passes through the driver.
 
 Null text counts as empty (the end id alone).  Repeated rows and null ids are
-packed like any other row.  An empty table gives no pieces.
+packed like any other row, very long texts are cut into whole windows.  Columns
+other than id and text are left out.  An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -145,11 +146,11 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     def measure(batches):
         import pyarrow as pa
 
-        coder, size = bpe.id_coder(tok), 4 * window
+        coder, size = bpe.batch_coder(tok), 4 * window
         for b in batches:
             tokens, crcs = [], []
-            for text in b.column(1).to_pylist():
-                ids = coder.encode(text) + end
+            for ids in coder.encode(b.column(1)):
+                ids += end
                 tokens.append(len(ids) // 4)
                 crcs.append([zlib.crc32(ids[i : i + size]) for i in range(0, len(ids), size)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["id", "tokens", "crcs"])

@@ -2,8 +2,8 @@ r"""Personal data: patterns propose, checksums confirm, context adjusts.
 
 Native: only SQL functions on the main path, one map over the texts, no
 shuffle.  For each kind a pattern is split out of the text once for the pieces
-between the matches and once for the matches; the running sum of their lengths
-gives spans in code points.  Validators then confirm: parts up to 255 (ip), Luhn
+between the matches and once for the matches; sums of their lengths, taken
+in two levels, give spans in code points.  Validators then confirm: parts up to 255 (ip), Luhn
 (card), digit counts (card, phone), mod-97 (iban).  Every span gets a score:
 what its kind and its checksum are worth, and more if a context word stands in
 the 40 characters before it.  Base kinds (email, ip, card, phone) stay whatever
@@ -18,7 +18,10 @@ as the plain ones in time linear in the text:
 * the number of digits of a card is bounded inside the pattern, with the
   look-arounds that make the run maximal, so ordinary numbers give no match.
 
-Null text counts as empty.  Rows are kept one to one, null ids included.
+Null and empty texts have no spans.  Rows are kept one to one, repeated ones and
+null ids included; very long texts are searched whole, in time linear in the
+text but for n * sqrt(n) sums over n matches.  Columns other than id and text
+are left out.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -62,18 +65,19 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         check = check.replace("{luhn}", LUHN).replace("{mod97}", MOD97)
         df = df.withColumn("m", F.expr(f"case when {cheap} then regexp_extract_all(t, {lit}, 0) else cast(array() as array<string>) end"))
         df = df.withColumn("p", F.expr(f"case when size(m) > 0 then transform(split(t, {lit}, -1), s -> length(s)) else cast(array() as array<int>) end"))
-        spans = (
-            "case when size(m) = 0 then cast(array() as array<struct<start:int,end:int,x:string>>) else "
-            "aggregate(sequence(0, size(m) - 1), named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,x:string>>)), (a, i) -> "
-            "named_struct('at', a.at + p[i] + length(m[i]), 'out', array_append(a.out, named_struct('start', a.at + p[i], 'end', a.at + p[i] + length(m[i]), 'x', m[i]))), a -> a.out) end"
-        )
-        df = df.withColumn("s", F.expr(spans))
+        # starts of the matches as sums in two levels: over whole blocks of about sqrt(n) lengths, then within the block
+        df = df.withColumn("n", F.expr("transform(m, (x, i) -> p[i] + length(x))"))
+        df = df.withColumn("w", F.expr("cast(ceil(sqrt(size(n))) as int)"))
+        df = df.withColumn("b", F.expr("case when w = 0 then cast(array() as array<int>) else transform(sequence(0, w - 1), j -> aggregate(slice(n, j * w + 1, w), 0, (a, x) -> a + x)) end"))
+        df = df.withColumn("c", F.expr("transform(b, (x, j) -> aggregate(slice(b, 1, j), 0, (a, y) -> a + y))"))
+        df = df.withColumn("s", F.expr("transform(m, (x, i) -> named_struct('start', c[i div w] + aggregate(slice(n, cast(i div w as int) * w + 1, i % w), 0, (a, y) -> a + y) + p[i], 'x', x))"))
+        df = df.withColumn("s", F.expr("transform(s, r -> named_struct('start', r.start, 'end', r.start + length(r.x), 'x', r.x))"))
         df = df.withColumn("s", F.expr(f"filter(s, r -> exists(array(r.x), x -> {check}))"))
         score = f"{worth}D + case when lower(substr(t, greatest(r.start - {CONTEXT}, 0) + 1, least({CONTEXT}, r.start))) rlike '{words}' then {more}D else 0D end"
         df = df.withColumn(kind, F.expr(f"cast(transform(s, r -> named_struct('kind', '{kind}', 'start', r.start, 'end', r.end, 'score', {score})) as {_SPAN})"))
         if kind not in BASE:
             df = df.withColumn(kind, F.expr(f"filter({kind}, r -> r.score >= {LEAST}D)"))
-    return df.drop("m", "p", "s", "t")
+    return df.drop("m", "p", "n", "w", "b", "c", "s", "t")
 
 
 def _joined(*kinds: str) -> str:
@@ -83,7 +87,8 @@ def _joined(*kinds: str) -> str:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(common.read_table(spark, sf_dir, "documents", "doc_id", "text"))
     counts = [F.expr(f"cast(size({k}) as bigint)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.expr(f"sha2({_joined(*BASE)}, 256)").alias("base_sha256"), F.expr(_joined(*KINDS)).alias("spans"))
+    scores = f"array_join(transform(concat({', '.join(KINDS)}), r -> cast(round(r.score * 100) as int)), ',')"
+    return found.select("doc_id", *counts, F.expr(f"sha2({_joined(*BASE)}, 256)").alias("base_sha256"), F.expr(_joined(*KINDS)).alias("spans"), F.expr(scores).alias("scores"))
 
 
 def _oracle() -> str:
@@ -111,7 +116,7 @@ def _oracle() -> str:
     parts = []
     for i, (kind, pattern) in enumerate(plain.items()):
         parts.append(
-            f"select doc_id, {i} as o, '{kind}' as kind, st, st + length(x) as en from ("
+            f"select doc_id, {i} as o, '{kind}' as kind, st, st + length(x) as en, {round(100 * KINDS[kind][3])} + case when regexp_matches(before, '{KINDS[kind][5]}') then {round(100 * KINDS[kind][4])} else 0 end as sc from ("
             f"select doc_id, x, lower(substr(t, (greatest(st - {CONTEXT}, 0) + 1)::bigint, least({CONTEXT}, st)::bigint)) as before, st from ("
             f"select doc_id, t, m[i] as x, (list_sum(list_transform(p[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda s: length(s))), 0))::bigint as st from ("
             f"select *, unnest(range(1, len(m) + 1)) as i from (select doc_id, t, regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as p from docs)))) "
@@ -122,7 +127,7 @@ def _oracle() -> str:
     return (
         "with docs as (select doc_id, coalesce(text, '') as t from documents), spans as (" + " union all ".join(parts) + ") "
         f"select d.doc_id, {counts}, sha256(coalesce(string_agg({one}, ',' order by s.o, s.st) filter (s.o < 4), '')) as base_sha256, "
-        f"coalesce(string_agg({one}, ',' order by s.o, s.st), '') as spans from docs d left join spans s on d.doc_id = s.doc_id group by d.doc_id"
+        f"coalesce(string_agg({one}, ',' order by s.o, s.st), '') as spans, coalesce(string_agg(s.sc::varchar, ',' order by s.o, s.st), '') as scores from docs d left join spans s on d.doc_id = s.doc_id group by d.doc_id"
     )
 
 

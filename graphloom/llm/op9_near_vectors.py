@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, setjoin
+from . import common
 
 COSINE = 0.98
 #: Rows a centre stands for.
@@ -41,6 +41,12 @@ def unit(v) -> np.ndarray | None:
     return a / size if size > 0 and np.isfinite(size) else None
 
 
+def digest_of(v: np.ndarray) -> bytes:
+    import hashlib
+
+    return hashlib.blake2b(v.tobytes(), digest_size=16).digest()
+
+
 def scan(x: np.ndarray, ids: np.ndarray, copies: np.ndarray, members: np.ndarray, cosine: float, asking: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Copies of ``members`` that each of the first ``asking`` rows is linked with, and links that connect what all these links connect."""
     others = np.zeros(asking, np.int64)
@@ -70,7 +76,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         for b in batches:
             units = [unit(v) for v in b.column(1).to_pylist()]
             flat = [None if u is None else u.tolist() for u in units]
-            digest = [None if u is None else setjoin.digest_of(u) for u in units]
+            digest = [None if u is None else digest_of(u) for u in units]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(flat, pa.list_(pa.float64())), pa.array(digest, pa.binary())], ["id", "label", "x", "digest"])
 
     src = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].cast("array<double>").alias("v"), vectors[label_col].cast("string").alias("label"))

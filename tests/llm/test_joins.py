@@ -5,10 +5,10 @@ import random
 import numpy as np
 import pytest
 
-from graphloom.llm import op2_toxicity, op3_line_dedup, op4_decontam, op5_ngram_join, op9_near_vectors, setjoin
+from graphloom.llm import common, op2_toxicity, op3_line_dedup, op4_decontam, op5_ngram_join, op9_near_vectors, setjoin, words
 
 RNG = random.Random(5)
-VOCAB = [f"w{i}" for i in range(400)]
+VOCAB = [f"w{i}" for i in range(390)] + [f"É{i}ñ" for i in range(10)]
 
 
 def text(n: int) -> str:
@@ -35,6 +35,12 @@ def corpus() -> list[tuple]:
     return list(enumerate(rows)) + [(3, rows[3]), (None, rows[5])]
 
 
+def many_copies() -> list[str]:
+    """A group of near copies, larger than small slices, and passages that many texts share."""
+    base, passage = text(120), text(60)
+    return [edited(base, 2) for _ in range(40)] + [f"{text(12)} {passage}" for _ in range(25)] + [f"{text(60)} {passage}" for _ in range(10)]
+
+
 def union_find(n, pairs):
     p = list(range(n))
 
@@ -53,16 +59,28 @@ def similar(a: set, b: set) -> bool:
 
 
 def shingles(t):
-    w = (t or "").lower().split()
+    w = (t or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))).split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-@pytest.mark.parametrize("block", [setjoin.BLOCK_TOKENS, 300])
-def test_ngram_components(spark, monkeypatch, block):
-    monkeypatch.setattr(setjoin, "BLOCK_TOKENS", block)  # the small one makes pairs of blocks
+def shingle_input(t):
+    import pyarrow as pa
+
+    data, at = words.raw(pa.array([t]))
+    h, start, _ = words.words(data, at)
+    return h, words.owners(at, start), 1
+
+
+@pytest.mark.parametrize(("size", "rounds", "hot"), [(2000, 2, False), (3, 2, True), (4, 0, False), (2, 1, True)])
+def test_ngram_components(spark, monkeypatch, size, rounds, hot):
+    monkeypatch.setattr(setjoin, "SLICE", size)  # small ones make several slices of a list
     rows = corpus()
+    rows += [(1000 + i, t) for i, t in enumerate(many_copies())]
+    if hot:  # half of all tokens as hot ones, so that tokens come by both ways
+        tokens = np.concatenate([words.sets_of(*shingle_input(t), 5)[0] for _, t in rows if t])
+        monkeypatch.setattr(setjoin, "hot_tokens", lambda reported: np.unique(tokens[tokens % np.uint64(2) == 0]))
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component_id string")
-    got = op5_ngram_join.ngram_components(docs).collect()
+    got = op5_ngram_join.ngram_components(docs, rounds=rounds).collect()
     n = max(i for i, _ in rows if i is not None) + 1
     sets = [set()] * n
     for i, t in rows:
@@ -81,8 +99,10 @@ def test_empty_tables(spark):
     assert op9_near_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_line_dedup(spark):
-    lines = [t for _, t in corpus() if t]
+@pytest.mark.parametrize(("size", "rounds"), [(2000, 2), (3, 1), (2, 0)])
+def test_line_dedup(spark, monkeypatch, size, rounds):
+    monkeypatch.setattr(setjoin, "SLICE", size)
+    lines = [t for _, t in corpus() if t] + many_copies()
     docs, at = [], 0
     while at < len(lines):
         k = RNG.randrange(1, 6)
@@ -92,15 +112,13 @@ def test_line_dedup(spark):
     order = sorted({(i, no, line) for i, t, _ in docs if i is not None and t for no, line in enumerate(t.split("\n"))})
     gone, before = set(), []
     for i, no, line in order:
-        if len(line.split()) < op3_line_dedup.MIN_WORDS:
-            continue
         s = shingles(line)
         if any(similar(s, o) for o in before):
             gone.add((i, no))
         before.append(s)
     want = sorted(((i, t if i is None or t is None else "\n".join(x for no, x in enumerate(t.split("\n")) if (i, no) not in gone), k) for i, t, k in docs), key=repr)
     df = spark.createDataFrame(docs, "doc_id long, text string, lines int")
-    assert sorted((tuple(r) for r in op3_line_dedup.dedup_lines(df).collect()), key=repr) == want
+    assert sorted((tuple(r) for r in op3_line_dedup.dedup_lines(df, rounds=rounds).collect()), key=repr) == want
     assert gone
 
 
@@ -156,3 +174,13 @@ def test_toxicity_held_out(spark):
     assert (hit[:, None] > rest[None]).mean() > 0.85
     assert (rest >= 0.7).mean() < 0.05
     assert 0 <= op2_toxicity.fit([], []).scorer()(None) <= 1
+
+
+def test_components_by_both_ways(spark):
+    rng = random.Random(8)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 460)] + [(None, 3), (7, 7)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    low = union_find(500, [(a, b) for a, b in pairs if a is not None])
+    want = {x: low[x] for a, b in pairs if a is not None and a != b for x in (a, b)}
+    for bound in (None, 0):
+        assert {r[0]: r[1] for r in common.components(df, task_edges=bound).collect()} == want
