@@ -1,7 +1,10 @@
 """From documents to packed training sequences.
 
 Each stage works on all that the stage before kept; ``run`` writes every result
-as Parquet into the shared folder and reads it again.  No stage has SQL: scores,
+as Parquet into the shared folder and reads it again, and removes it once the
+next one is written.  Null and empty texts are clean documents of no lines and
+shingles; they pass all stages and are packed as their end id.  Null ids pass
+too.  An empty table gives no pieces.  Further columns stay up to packing.  No stage has SQL: scores,
 set joins, alignments and token ids lie beyond it, so ``ORACLE_SQL`` is None and
 the operators are tested against brute force.
 """
@@ -16,7 +19,7 @@ from graphloom.llm import common, op2_toxicity, op3_line_dedup, op4_decontam, op
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold; the model learns from the documents given."""
-    model = op2_toxicity.fit(*op2_toxicity.training_rows(docs, common.read_table(spark, sf_dir, "labels")))
+    model = op2_toxicity.fit(op2_toxicity.training_rows(docs, common.read_table(spark, sf_dir, "labels")))
     return op2_toxicity.score_toxicity(docs, model).where("predicted = 0").select(docs.columns)
 
 
@@ -27,9 +30,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group; rows with a null id stay."""
+    """The document with the smallest id of every group.
+
+    Repeated rows of one id and text stay once; further texts under the id of a
+    survivor stay too, as they are other documents; rows with a null id all stay.
+    """
     kept = op5_ngram_join.ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL"))
+    once = docs.join(kept, "doc_id", "left_semi").withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    return once.select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read_table(spark, sf_dir, "documents")
+    docs, before = common.read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.dropped(before)
+        before = docs
     return docs
