@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.schema import looks_like_test
 from ..functions.text import parent_module, relevance
 
 
@@ -19,6 +20,9 @@ def find(nodes: DataFrame, term: str) -> DataFrame:
 
 
 def search(nodes: DataFrame, term: str, limit: int) -> DataFrame:
+    """The best by lexical score; a blank term finds nothing."""
+    if not term.strip():
+        return nodes.limit(0).withColumn("score", F.lit(0).cast("long"))
     scored = nodes.withColumn("score", relevance(F.col("name"), F.col("qualified_name"), F.col("file"), term)).where("score > 0")
     return scored.orderBy(F.desc("score"), "qualified_name", "id").limit(limit)
 
@@ -67,6 +71,12 @@ def dead_code(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...]) -> Dat
     return nodes.where(F.col("kind").isin(*kinds)).join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
 
 
+def unreferenced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Dead-code candidates: no inbound edge but Contains; files, modules, main and what looks like a test left out."""
+    some = nodes.where(~F.col("kind").isin("File", "Module") & (F.col("name") != "main") & ~looks_like_test(F.col("name"), F.col("file")))
+    return some.join(edges.where("kind <> 'Contains'").select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+
+
 def edge_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """Edges added and removed by (kind, src, dst), multi-rows kept."""
     keys = ["kind", "src", "dst"]

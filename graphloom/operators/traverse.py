@@ -34,7 +34,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         while True:  # smallest id that reaches a node
             incoming = left.join(colour.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "c")
             colour = cut(colour.union(incoming).groupBy("id").agg(F.min("c").alias("c")))
-            now = colour.agg(F.sum(F.col("c").cast("decimal(38,0)"))).first()[0]
+            now = colour.agg(F.sum(F.xxhash64("id", "c").cast("decimal(38,0)"))).first()[0]
             if now == before:
                 break
             before = now
@@ -54,11 +54,14 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return done.join(size, "c").select("id", F.col("c").alias("component_id"), "size")
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """(id, rank) over weighted edges (src, dst, weight); dangling mass is spread evenly."""
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, ids: DataFrame | None = None) -> DataFrame:
+    """(id, rank) over weighted edges (src, dst, weight); dangling mass is spread evenly.
+
+    ``ids`` (id) names all nodes, by default those that edges touch.
+    """
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     share = cut(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")))
-    ids = share.select(F.col("src").alias("id")).union(share.select("dst")).distinct()
+    ids = (share.select(F.col("src").alias("id")).union(share.select("dst")) if ids is None else ids).distinct()
     n = ids.count()
     if not n:
         return ids.withColumn("rank", F.lit(0.0))

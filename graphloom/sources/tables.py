@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPAN = 10_000_000_000
@@ -72,3 +72,27 @@ def trade(spark: SparkSession, sf_dir: str, last_order: int | None = 40) -> Data
         li, o = li.where(F.col("l_orderkey") <= last_order), o.where(F.col("o_orderkey") <= last_order)
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return j.select(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).where("src <> dst").distinct()
+
+
+def file_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File nodes of every nation: its supply file and one file a market segment."""
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    segments = customer.select(F.lower("c_mktsegment").alias("segment")).distinct()
+    names = segments.withColumn("no", F.row_number().over(Window.orderBy("segment"))).union(spark.createDataFrame([("supply", 0)], "segment string, no int"))
+    path = F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), "n_nationkey", F.lit("/"), "segment", F.lit(".rs"))
+    out = nation.join(names, F.lit(True)).select((F.lit(9 * SPAN) + F.col("n_nationkey") * 100 + F.col("no")).alias("id"), path.alias("file"))  # nations by a handful of segments
+    return out.select("id", F.lit("File").alias("kind"), F.col("file").alias("name"), F.col("file").alias("qualified_name"), "file")
+
+
+def whole_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes(spark, sf_dir).unionByName(file_nodes(spark, sf_dir))
+
+
+def whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All kinds: those of :func:`edges`, Contains from files to members, Imports between nations of large trades."""
+    members = nodes(spark, sf_dir).select("file", F.col("id").alias("dst"))
+    contains = members.join(file_nodes(spark, sf_dir).select("file", F.col("id").alias("src")), "file").select(F.lit("Contains").alias("kind"), "src", "dst")
+    li, o = table(spark, sf_dir, "lineitem").where("l_quantity >= 49"), table(spark, sf_dir, "orders")
+    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    imports = j.select(ident(2, "c_nationkey").alias("src"), ident(2, "s_nationkey").alias("dst")).distinct().select(F.lit("Imports").alias("kind"), "src", "dst")
+    return edges(spark, sf_dir).unionByName(contains).unionByName(imports)
