@@ -120,7 +120,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         import pyarrow as pa
 
         sid, n, length, tokens, _, asks = slice_columns(t)
-        gone = matched_earlier(sid, n, length, tokens, asks, percent)
+        gone = matched_earlier(sid, n, length, [x.tolist() for x in tokens], asks, percent)
         if gone:
             return pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["sid"])
 

@@ -6,13 +6,14 @@ ceil(0.8 n) of them.  :mod:`setjoin` brings sets that may match into slices.
 There every set is a query against the inverted lists of the slice, by
 DivideSkip (Li, Lu, Lu, ICDE 2008): L of the query's lists, the longest, are set
 aside, L by the cost rule T / (MU log2 M + 1) with M the longest list's length;
-the others are merged with a heap, and a document met there at least T - L times
-is sought in the long lists by binary search until it has, or can no longer
-have, the overlap that its size asks for.
+the others are merged with a heap (many entries are counted at once, to the same
+numbers), and a document met there at least T - L times is sought in the long
+lists by binary search until it has, or can no longer have, the overlap that its
+size asks for.  Those met most often are probed first.
 
-Lists are kept apart by the component that their members have already, so a
-query merges no list of its own component and leaves a component with the first
-link: a group of near copies yields a spanning forest, never all its pairs.
+A query looks for no link to its own component and leaves another one with the
+first link into it: a group of near copies yields a spanning forest, never all
+its pairs.
 
 Documents with equal sets are one class, which takes part once.  Null, empty and
 blank texts have an empty set and are linked with nothing; very long texts are
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -46,81 +47,91 @@ def long_lists(need: int, longest: int) -> int:
 
 
 class Lists:
-    """Inverted lists of a slice, kept apart by the root that a set had when it was added."""
-
-    def __init__(self, sizes: list[int], roots: list[int], percent: int):
-        self.sizes, self.percent = sizes, percent
-        self.parent = {r: r for r in roots}
-        self.lists: dict[int, dict[int, list[int]]] = {}
-
-    def root(self, x: int) -> int:
-        parent = self.parent
-        while (p := parent[x]) != x:
-            parent[x] = parent[p]
-            x = parent[x]
-        return x
-
-    def add(self, i: int, root: int, tokens: list[int]) -> None:
-        for t in tokens:
-            self.lists.setdefault(t, {}).setdefault(root, []).append(i)
-
-    def matches(self, n: int, tokens: list[int], own: int):
-        """A set of every other component that the query (of n tokens, some of them shared) is linked with."""
-        by_root: dict[int, list[list[list[int]]]] = {}
-        for t in tokens:
-            here: dict[int, list[list[int]]] = {}
-            for k, ids in self.lists.get(t, {}).items():
-                if (r := self.root(k)) != own:
-                    here.setdefault(r, []).append(ids)
-            for r, runs in here.items():
-                by_root.setdefault(r, []).append(runs)
-        need = setjoin.overlap_needed(n, self.percent)
-        for runs in by_root.values():
-            if len(runs) < need:
-                continue
-            runs.sort(key=lambda parts: sum(map(len, parts)))
-            probed = long_lists(need, sum(map(len, runs[-1])))
-            short, long = runs[: len(runs) - probed], runs[len(runs) - probed :]
-            last, times = -1, 0
-            for i in heapq.merge(*(ids for parts in short for ids in parts), [len(self.sizes)]):
-                if i == last:
-                    times += 1
-                    continue
-                if last >= 0 and times >= need - probed and self._probe(n, last, times, long):
-                    yield last
-                    break
-                last, times = i, 1
-
-    def _probe(self, n: int, i: int, times: int, long: list[list[list[int]]]) -> bool:
-        m = self.sizes[i]
-        least = -(-self.percent * (n + m) // (100 + self.percent))
-        for left, parts in zip(range(len(long), 0, -1), long, strict=True):
-            if times >= least or times + left < least:
+    """Inverted lists of a slice: places of the sets that hold a token, ascending; tokens of one set are left out."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        tokens = np.concatenate([np.zeros(0, np.int64), *sets])
+        place = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(tokens, kind="stable")
+        ordered = tokens[order]
+        new = np.r_[True, ordered[1:] != ordered[:-1]] if len(ordered) else np.zeros(0, bool)
+        starts = np.flatnonzero(new)
+        times = np.diff(np.r_[starts, len(ordered)])
+        self.places = place[order]
+        first = np.repeat(starts, times)
+        begin, rank, many = np.empty(len(tokens), np.int64), np.empty(len(tokens), np.int64), np.empty(len(tokens), bool)
+        begin[order], rank[order], many[order] = first, np.arange(len(tokens)) - first, np.repeat(times > 1, times)
+        ends = np.cumsum([len(s) for s in sets])
+        #: Per set: where each of its lists begins, and how many earlier sets stand in it.
+        self.of = [(begin[a:z][many[a:z]], rank[a:z][many[a:z]]) for a, z in zip(np.r_[0, ends[:-1]], ends, strict=True)]
+
+    def merged(self, begin: np.ndarray, length: np.ndarray, sets: int) -> np.ndarray:
+        """How many of the lists hold each of the first ``sets`` places: by a heap, or, of many entries, by counting them all at once."""
+        if length.sum() > HEAP_ENTRIES:
+            return np.bincount(np.concatenate([self.places[b : b + n] for b, n in zip(begin.tolist(), length.tolist(), strict=True)]), minlength=sets)
+        counts = np.zeros(sets, np.int64)
+        for i, same in groupby(heapq.merge(*(self.places[b : b + n].tolist() for b, n in zip(begin.tolist(), length.tolist(), strict=True)))):
+            counts[i] = sum(1 for _ in same)
+        return counts
+
+    def probed(self, found: np.ndarray, counts: np.ndarray, least: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Which of ``found`` reach ``least``: binary search in the long lists, until it is reached or out of reach."""
+        sure = []
+        left = len(begin)
+        for b, n in zip(begin.tolist(), length.tolist(), strict=True):
+            done = counts >= least
+            sure.append(found[done])
+            open_ = ~done & (counts + left >= least)
+            if not open_.all():
+                found, counts, least = found[open_], counts[open_], least[open_]
+            if not len(found):
                 break
-            for ids in parts:
-                k = bisect_left(ids, i)
-                if k < len(ids) and ids[k] == i:
-                    times += 1
-                    break
-        return times >= least
+            here = self.places[b : b + n]
+            at = np.minimum(np.searchsorted(here, found), n - 1)
+            counts = counts + (here[at] == found)
+            left -= 1
+        return np.concatenate([*sure, found[counts >= least]])
+
+
+#: Entries of short lists beyond which they are counted at once instead of merged by a heap.
+HEAP_ENTRIES = 256
+#: Sets that are probed first, those met most often in the short lists.
+FIRST_PROBED = 32
 
 
-def forest(ids: list[int], sizes: list[int], sets: list[list[int]], roots: list[int], asks: list[bool], percent: int) -> list[tuple[int, int]]:
-    """Links that connect whatever links of the sets that ask connect; ``roots`` are known components."""
+def forest(ids: list[int], sizes: list[int], sets: list[np.ndarray], roots: list[int], asks: list[bool], percent: int) -> list[tuple[int, int]]:
+    """Links that connect whatever links of the sets that ask connect; ``roots`` are known components.
+
+    Sets are taken in the order of size; a query looks among those before it, and
+    leaves a component with the first link into it.
+    """
     order = sorted(range(len(ids)), key=lambda i: (asks[i], sizes[i], ids[i]))
-    index = Lists([sizes[i] for i in order], roots, percent)
-    held: dict[int, int] = {}
-    for i in order:
-        for t in sets[i]:
-            held[t] = held.get(t, 0) + 1
+    index = Lists([sets[i] for i in order])
+    label = np.unique(np.array([roots[i] for i in order]), return_inverse=True)[1]
+    m = np.array([sizes[i] for i in order])
     links = []
     for at, i in enumerate(order):
-        mine = [t for t in sets[i] if held[t] > 1]  # a token of one set finds nothing
-        if asks[i] and at:
-            for other in index.matches(sizes[i], mine, index.root(roots[i])):
-                links.append((ids[i], ids[order[other]]))
-                index.parent[index.root(roots[i])] = index.root(roots[order[other]])
-        index.add(at, index.root(roots[i]), mine)
+        begin, length = index.of[at]
+        need = setjoin.overlap_needed(sizes[i], percent)
+        some = length > 0
+        if not asks[i] or some.sum() < need:
+            continue
+        begin, length = begin[some], length[some]
+        by_length = np.argsort(length, kind="stable")
+        begin, length = begin[by_length], length[by_length]
+        cut = len(length) - long_lists(need, int(length[-1]))
+        met = index.merged(begin[:cut], length[:cut], at)
+        found = np.flatnonzero((met >= need - (len(length) - cut)) & (label[:at] != label[at]))
+        found = found[np.argsort(-met[found], kind="stable")]
+        for part in (found[:FIRST_PROBED], found[FIRST_PROBED:]):
+            part = np.sort(part[label[part] != label[at]])
+            if not len(part):
+                continue
+            least = -(-percent * (sizes[i] + m[part]) // (100 + percent))
+            for r in index.probed(part, met[part], least, begin[cut:], length[cut:]).tolist():
+                if label[r] != label[at]:
+                    links.append((ids[i], ids[order[r]]))
+                    label[label == label[at]] = label[r]
     return links
 
 
@@ -132,7 +143,7 @@ def slice_columns(t):
     keep = order[np.r_[True, sid[order][1:] != sid[order][:-1]]] if len(order) else order
     tokens = t.column("tokens").take(keep).to_pylist()
     pick = lambda c: t.column(c).to_numpy()[keep].tolist()
-    return pick("sid"), pick("n"), pick("plen"), [np.frombuffer(x, np.int64).tolist() for x in tokens], pick("comp"), asks[keep].tolist()
+    return pick("sid"), pick("n"), pick("plen"), [np.frombuffer(x, np.int64) for x in tokens], pick("comp"), asks[keep].tolist()
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rounds: int = setjoin.ROUNDS) -> DataFrame:
