@@ -6,6 +6,7 @@ An id is a type number times ``SPAN`` plus the key of the row.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,10 +24,13 @@ def ident(kind: int, key: str) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder."""
+    """Cut the lineage with a reliable checkpoint in the cluster's shared folder; one machine alone may use a temporary one."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint()
 
 
@@ -34,9 +38,9 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     nation = t("nation")
     home = nation.select("n_nationkey", F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), "n_nationkey", F.lit("/")).alias("dir"))
-    c = t("customer").join(F.broadcast(home), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("file", F.concat("dir", F.lower("c_mktsegment"), F.lit(".rs")))
-    s = t("supplier").join(F.broadcast(home), F.col("s_nationkey") == F.col("n_nationkey")).withColumn("file", F.concat("dir", F.lit("supply.rs")))
-    n = nation.join(F.broadcast(home), "n_nationkey").withColumn("file", F.concat("dir", F.lit("supply.rs")))
+    c = t("customer").join(home, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("file", F.concat("dir", F.lower("c_mktsegment"), F.lit(".rs")))
+    s = t("supplier").join(home, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("file", F.concat("dir", F.lit("supply.rs")))
+    n = nation.join(home, "n_nationkey").withColumn("file", F.concat("dir", F.lit("supply.rs")))
     o = t("orders").join(c.select("c_custkey", "c_name", "file"), F.col("o_custkey") == F.col("c_custkey")).withColumn("name", F.concat(F.lit("o"), "o_orderkey"))
     row = lambda df, k, kind, key, name, q, file: df.select(ident(k, key).alias("id"), F.lit(kind).alias("kind"), F.expr(name).alias("name"), F.expr(q).alias("qualified_name"), F.expr(file).alias("file"))
     parts = [
