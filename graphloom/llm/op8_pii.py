@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CONTEXT = 40
+#: Earlier matches in which the context may lie: none is shorter than 5 characters.
+BACK = 8
 LEAST = 0.6
 
 #: kind: (cheap condition, pattern, validator of the matched string x, worth, worth of context, context words)
@@ -64,20 +66,24 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lit = "'" + pattern.replace("\\", "\\\\") + "'"
         check = check.replace("{luhn}", LUHN).replace("{mod97}", MOD97)
         df = df.withColumn("m", F.expr(f"case when {cheap} then regexp_extract_all(t, {lit}, 0) else cast(array() as array<string>) end"))
-        df = df.withColumn("p", F.expr(f"case when size(m) > 0 then transform(split(t, {lit}, -1), s -> length(s)) else cast(array() as array<int>) end"))
+        df = df.withColumn("q", F.expr(f"case when size(m) > 0 then split(t, {lit}, -1) else cast(array() as array<string>) end"))
+        df = df.withColumn("p", F.expr("transform(q, s -> length(s))"))
+        df = df.withColumn("q", F.expr(f"transform(q, s -> right(s, {CONTEXT}))"))
+        # each match with the end of what stands before it; the context lies in the last BACK of these
+        df = df.withColumn("e", F.expr("transform(m, (x, i) -> concat(q[i], x))"))
         # starts of the matches as sums in two levels: over whole blocks of about sqrt(n) lengths, then within the block
         df = df.withColumn("n", F.expr("transform(m, (x, i) -> p[i] + length(x))"))
         df = df.withColumn("w", F.expr("cast(ceil(sqrt(size(n))) as int)"))
         df = df.withColumn("b", F.expr("case when w = 0 then cast(array() as array<int>) else transform(sequence(0, w - 1), j -> aggregate(slice(n, j * w + 1, w), 0, (a, x) -> a + x)) end"))
         df = df.withColumn("c", F.expr("transform(b, (x, j) -> aggregate(slice(b, 1, j), 0, (a, y) -> a + y))"))
-        df = df.withColumn("s", F.expr("transform(m, (x, i) -> named_struct('start', c[i div w] + aggregate(slice(n, cast(i div w as int) * w + 1, i % w), 0, (a, y) -> a + y) + p[i], 'x', x))"))
-        df = df.withColumn("s", F.expr("transform(s, r -> named_struct('start', r.start, 'end', r.start + length(r.x), 'x', r.x))"))
+        df = df.withColumn("s", F.expr(f"transform(m, (x, i) -> named_struct('start', c[i div w] + aggregate(slice(n, cast(i div w as int) * w + 1, i % w), 0, (a, y) -> a + y) + p[i], 'x', x, 'before', right(concat(array_join(slice(e, greatest(i - {BACK}, 0) + 1, least(i, {BACK})), ''), q[i]), {CONTEXT})))"))
+        df = df.withColumn("s", F.expr("transform(s, r -> named_struct('start', r.start, 'end', r.start + length(r.x), 'x', r.x, 'before', r.before))"))
         df = df.withColumn("s", F.expr(f"filter(s, r -> exists(array(r.x), x -> {check}))"))
-        score = f"{worth}D + case when lower(substr(t, greatest(r.start - {CONTEXT}, 0) + 1, least({CONTEXT}, r.start))) rlike '{words}' then {more}D else 0D end"
+        score = f"{worth}D + case when lower(r.before) rlike '{words}' then {more}D else 0D end"
         df = df.withColumn(kind, F.expr(f"cast(transform(s, r -> named_struct('kind', '{kind}', 'start', r.start, 'end', r.end, 'score', {score})) as {_SPAN})"))
         if kind not in BASE:
             df = df.withColumn(kind, F.expr(f"filter({kind}, r -> r.score >= {LEAST}D)"))
-    return df.drop("m", "p", "n", "w", "b", "c", "s", "t")
+    return df.drop("m", "q", "e", "p", "n", "w", "b", "c", "s", "t")
 
 
 def _joined(*kinds: str) -> str:
