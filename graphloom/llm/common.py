@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -80,6 +81,15 @@ def dropped(*tables: DataFrame | None) -> None:
             remove_path(df.sparkSession, path)
 
 
+def released(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files that no query needs any more.
+
+    It does so when the driver collects its garbage, which may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Forest:
     """Union-find over the ids of a task, bounded: beyond ``limit`` ids it starts anew."""
 

@@ -4,8 +4,11 @@ Lines are what stands between ``\\n``.  A line's tokens are its distinct 5-word
 shingles (A-Z lower-cased): near-duplicate operators here go by five words and a
 Jaccard similarity of 0.8.  A line of fewer words has all of them as its one
 token, so it matches only lines of the same words; only lines without a word are
-never compared.  :mod:`setjoin` orders tokens by rarity over all lines and
-brings lines that share a prefix token into slices.  There the prefix, length
+never compared.  A line of equal set to an earlier one goes.  Of the others,
+those stay in play that share as many of the first few of their tokens by hash
+with other lines as any match would (:func:`setjoin.sieve`).  Over all of these
+:mod:`setjoin` orders tokens by rarity and brings lines that share a prefix
+token into slices.  There the prefix, length
 and positional filters (PPJoin: Xiao et al., WWW 2008) leave candidates whose
 Jaccard similarity is then verified.  A line that matches an earlier one, in the
 order (id, line number), at 0.8 or more is removed, whether or not the earlier
@@ -77,44 +80,64 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     common.small_batches(spark)
 
-    def make(b):
+    def make(b, wanted=None):
+        """Sets of all lines, or of those whose places are in the filter ``wanted``."""
         data, at = words.raw(b.column(2))
         h, start, _ = words.words(data, at)
         ends = np.flatnonzero(data == 10)
         row = words.owners(at, start)
         line = np.searchsorted(ends, start) + row  # lines of all rows, one after the other
         count = len(ends) + b.num_rows
-        tokens, offsets = words.sets_of(h, line, count, shingle)
         before = np.searchsorted(ends, at[:-1])  # lines of the rows before
         of = np.repeat(np.arange(b.num_rows), np.diff(np.r_[before, len(ends)]) + 1)
         meta = np.zeros(count, setjoin.META)
         meta["id"], meta["key"] = b.column(0).to_numpy()[of], b.column(1).to_numpy()[of]
         meta["line"] = np.arange(count) - (before + np.arange(b.num_rows))[of]
+        if wanted is not None:
+            some = setjoin.in_filter(wanted, setjoin.place_hash(meta))[line]
+            h, line = h[some], line[some]
+        tokens, offsets = words.sets_of(h, line, count, shingle)
         meta["n"] = np.diff(offsets)
         d = words.digests(tokens, offsets)
         meta["d0"], meta["d1"] = d[:, 0], d[:, 1]
         return meta, tokens, offsets
 
-    def measure(batches):
+    def take(batches):
         import pyarrow as pa
 
-        names = ["id", "key", "line", "n", "digest", "sets", "token", "times"]
+        names = ["id", "key", "line", "n", "members", "sets", "token", "times"]
         for b in batches:
-            for meta, tokens, _ in setjoin.chunks([b], make, False):
-                digest = setjoin._binary(np.stack([meta["d0"], meta["d1"]], 1).reshape(-1), np.arange(1, len(meta) + 1) * 2)
-                yield pa.RecordBatch.from_arrays([pa.array(meta[c]) for c in ("id", "key", "line", "n")] + [digest, *(pa.nulls(len(meta), pa.int64()) for _ in range(3))], names)
+            meta, tokens, at = make(b, held.value)
+            for meta, tokens, at in setjoin.pieces(*setjoin.kept(meta, tokens, at, setjoin.firsts(meta)[0])):
+                yield pa.RecordBatch.from_arrays([pa.array(meta[c]) for c in ("id", "key", "line", "n")] + [setjoin._binary(tokens, at[1:]), *(pa.nulls(len(meta), pa.int64()) for _ in range(3))], names)
                 hot, times = setjoin.hot_here(tokens, len(meta))
                 extra = [pa.array([len(meta)] + [None] * len(hot), pa.int64()), pa.array([None, *hot.tolist()], pa.int64()), pa.array([None, *times.tolist()], pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.nulls(1 + len(hot), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())] + extra, names)
 
+    def again(b):
+        meta = np.zeros(b.num_rows, setjoin.META)
+        for k, c in enumerate(("id", "key", "line", "n")):
+            meta[c] = b.column(k).to_numpy()
+        tokens, at = words.raw(b.column(4))
+        tokens, at = tokens.view(np.uint64), at // 8
+        d = words.digests(tokens, at)
+        meta["d0"], meta["d1"] = d[:, 0], d[:, 1]
+        return meta, tokens, at
+
     text = docs[text_col].cast("string")
     src = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    measured = common.written(src.mapInArrow(measure, "id long, key long, line int, n int, digest binary, sets long, token long, times long"), "lines")
-    lines = measured.where("id IS NOT NULL")
-    total = lines.agg(F.sum("n")).first()[0] or 0
-    shared = setjoin.shared_tokens(src, make, total, setjoin.hot_tokens(measured.where("id IS NULL").select("sets", "token", F.col("times").alias("n"))))
+    copies, left = setjoin.sieve(src, make, percent, src.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    held = spark.sparkContext.broadcast(setjoin.filter_of(left))  # at most 32 MB
+    common.dropped(left)
+    common.released(spark)
+    measured = common.written(src.mapInArrow(take, "id long, key long, line int, n int, members binary, sets long, token long, times long"), "likely-sets")
+    likely = measured.where("id IS NOT NULL").select("id", "key", "line", "n", "members")
+    total = likely.agg(F.sum("n")).first()[0] or 0
+    shared = setjoin.shared_tokens(likely, again, total, setjoin.hot_tokens(measured.where("id IS NULL").select("sets", "token", F.col("times").alias("n"))))
+    common.dropped(measured)
     sets = setjoin.classes(setjoin.candidates(shared, percent), numbered=True)
     common.dropped(shared)
+    common.released(spark)
 
     def work(t):
         import pyarrow as pa
@@ -125,16 +148,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["sid"])
 
     found = setjoin.join_sets(sets, work, True, percent, "sid long", lambda f: f.distinct(), rounds)
-    first = lines.groupBy("digest").agg(F.min(F.struct("id", "key", "line")).alias("first"), F.count("*").alias("times"))
-    if found is None:
-        first = first.withColumn("gone", F.lit(None).cast("boolean"))
-    else:
-        first = first.join(sets.join(found.distinct(), "sid").select("digest", F.lit(True).alias("gone")), "digest", "left")
-    marks = first.where("gone OR times > 1")  # all other lines stay
-    all_lines = lines.select("id", "key", "line", "digest").join(marks, "digest")
-    out = all_lines.where("gone OR first.id <> id OR first.key <> key OR first.line <> line")
+    out = copies if found is None else copies.union(sets.join(found.distinct(), "sid").select("id", "key", "line"))
     result = common.written(out.groupBy("id", "key").agg(F.array_sort(F.collect_set("line")).alias("lines")), "removed-lines")
-    common.dropped(measured, sets)
+    common.dropped(copies, sets)
+    common.released(spark)
     return result
 
 
@@ -143,7 +160,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = removed_lines(docs, id_col, text_col, **how)
     text = docs[text_col].cast("string")
     named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(text).alias("key"))
-    joined = named.join(gone, ["id", "key"], "left")
+    joined = named.join(gone.hint("shuffle_hash"), ["id", "key"], "left")  # texts are not sorted
     # numbers of removed lines as keys of a map: one look-up a line
     marked = joined.withColumn("marks", F.map_from_arrays("lines", F.transform("lines", lambda _: F.lit(True))))
     kept = F.array_join(F.filter(F.split(F.col("row")[text_col], "\n", -1), lambda _, i: F.col("marks")[i].isNull()), "\n")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x5851F42D4C957F2D
 SPACE = np.zeros(256, bool)
