@@ -369,3 +369,9 @@ def id_coder(path: str) -> IdCoder:
 @functools.lru_cache(maxsize=4)
 def heap_counter(path: str) -> HeapCounter:
     return HeapCounter(path)
+
+
+def forget() -> None:
+    """Drop the tables that this process holds; the next use makes them anew."""
+    for made in (batch_coder, batch_counter, id_coder, heap_counter):
+        made.cache_clear()

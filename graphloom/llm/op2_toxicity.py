@@ -243,6 +243,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def count(batches):
         import pyarrow as pa
 
+        common.lean()
         seen: tuple[Counter[int], Counter[int]] = (Counter(), Counter())
         for b in batches:
             for y, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -303,6 +304,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     def run(batches):
         import pyarrow as pa
 
+        common.lean()
         score = held.value.scorer()
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([score(t) for t in b.column(1).to_pylist()], pa.float64())], ["row", "score"])

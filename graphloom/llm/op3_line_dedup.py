@@ -105,6 +105,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def take(batches):
         import pyarrow as pa
 
+        common.lean()
         names = ["id", "key", "line", "n", "members", "sets", "token", "times"]
         for b in batches:
             meta, tokens, at = make(b, held.value)

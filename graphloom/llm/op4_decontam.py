@@ -139,6 +139,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         def count(batches, wanted=wanted, lengths=lengths):
             import pyarrow as pa
 
+            common.lean()
             seen, want = Counter(), wanted.value
             for b in batches:
                 for text in b.column(0).to_pylist():
