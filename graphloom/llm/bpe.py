@@ -17,7 +17,7 @@ import re
 
 import numpy as np
 
-from . import words
+from . import common, words
 
 #: Words a worker remembers; beyond it the cache starts anew.
 CACHE_WORDS = 600_000
@@ -191,6 +191,8 @@ class HeapCounter:
 TABLE = 1 << 22
 #: Ids kept in a slot; longer words are made anew in every batch.
 KEPT = 6
+#: Rows whose words are held at once.
+ROWS = 250
 
 
 class Cut:
@@ -251,13 +253,23 @@ class BatchCoder:
     def __init__(self, path: str):
         self.one = IdCoder(path)
         self.keys = np.zeros(TABLE, np.uint64)
-        self.sizes = np.zeros(TABLE, np.uint8)
-        self.ids = np.zeros(TABLE * KEPT, np.uint32)
+        self.place = np.zeros(TABLE, np.int32)  # of a slot's word among those below, whose room grows with them
+        self.words, self.sizes, self.ids = 1, np.zeros(1 << 12, np.uint8), np.zeros(KEPT << 12, np.uint32)
         self.end = np.frombuffer(self.one.line_end, np.uint32)
         vocab = self.one.tokenizer.get_vocab(with_added_tokens=False)
         self.starts = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin with a blank, or are a line end
         for token, i in vocab.items():
             self.starts[i] = token[:1] == "\u0120"
+        del vocab
+        common.trimmed()  # reading the file leaves some freed memory
+
+    def _placed(self, s: int) -> int:
+        if not self.place[s]:
+            if self.words == len(self.sizes):
+                self.sizes, self.ids = (np.r_[x, np.zeros_like(x)] for x in (self.sizes, self.ids))
+            self.place[s] = self.words
+            self.words += 1
+        return int(self.place[s])
 
     def _encode(self, texts: list[str], led: bool) -> list[np.ndarray]:
         """Ids of words that follow a blank (``led``) or not, many at a time."""
@@ -275,7 +287,10 @@ class BatchCoder:
         return out
 
     def encode(self, column) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every row."""
+        """Little-endian unsigned 32-bit ids of every row, made for ``ROWS`` rows at once."""
+        return [ids for a in range(0, len(column), ROWS) for ids in self._rows(column.slice(a, ROWS))]
+
+    def _rows(self, column) -> list[bytes]:
         cut = Cut(column, self.one.drops_blanks)
         slot = (cut.key & np.uint64(TABLE - 1)).astype(np.int64)
         known = self.keys[slot] == cut.key
@@ -290,8 +305,9 @@ class BatchCoder:
                     if len(ids) > KEPT or len(ids) == 0:
                         long[int(missing[m])] = ids
                     else:
-                        self.keys[s], self.sizes[s] = missing[m], len(ids)
-                        self.ids[s * KEPT : s * KEPT + len(ids)] = ids
+                        w = self._placed(s)
+                        self.keys[s], self.sizes[w] = missing[m], len(ids)
+                        self.ids[w * KEPT : w * KEPT + len(ids)] = ids
             known = self.keys[slot] == cut.key
         rest = np.flatnonzero(~known).tolist()  # long words, and words that lost their slot to others of this batch
         lost = {int(cut.key[i]): i for i in rest if int(cut.key[i]) not in long}
@@ -299,7 +315,8 @@ class BatchCoder:
             some = [i for i in lost.values() if cut.led[i] == led]
             for i, ids in zip(some, self._encode([cut.word(i) for i in some], led), strict=True):
                 long[int(cut.key[i])] = ids
-        sizes = np.where(known, self.sizes[slot], 0).astype(np.int64)
+        place = self.place[slot].astype(np.int64)
+        sizes = np.where(known, self.sizes[place], 0).astype(np.int64)
         for i in rest:
             sizes[i] = len(long[int(cut.key[i])])
         lead = cut.after_end * len(self.end)
@@ -312,7 +329,7 @@ class BatchCoder:
         kept = np.where(known, sizes, 0)
         of = np.repeat(np.arange(len(kept)), kept)
         k = np.arange(len(of)) - (np.cumsum(kept) - kept)[of]
-        out[at[of] + k] = self.ids[(slot * KEPT)[of] + k]
+        out[at[of] + k] = self.ids[(place * KEPT)[of] + k]
         for i in rest:
             out[at[i] : ends[i]] = long[int(cut.key[i])]
         bounds = np.r_[0, ends][np.searchsorted(cut.row, np.arange(len(cut.at)))]

@@ -97,10 +97,15 @@ def lean() -> None:
     These are the tables of tokens (some 190 MB a worker) and freed memory that
     the allocator holds.  Tasks that do not encode texts begin with it.
     """
-    import ctypes
-
     if (bpe := sys.modules.get(f"{__package__}.bpe")) is not None:
         bpe.forget()
+    trimmed()
+
+
+def trimmed() -> None:
+    """Give freed memory back that the allocator holds."""
+    import ctypes
+
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim is not None:
         trim(0)

@@ -30,3 +30,14 @@ def test_token_tables_go(spark, stage):
     else:
         op3_line_dedup.removed_lines(docs)
     assert held(spark) == 0
+
+
+def test_coder_table_follows_its_words():
+    import pyarrow as pa
+
+    coder = bpe.BatchCoder(bpe.tokenizer_path("byte_bpe_50k.json"))
+    texts = [f"word{i} of text{i} and number {i}" for i in range(9000)]
+    got = coder.encode(pa.array(texts))
+    assert got == [coder.one.encode(t) for t in texts]
+    held = sum(x.nbytes for x in vars(coder).values() if hasattr(x, "nbytes"))
+    assert held < 64 << 20  # a slot for each id that a word may have would take 138 MB
