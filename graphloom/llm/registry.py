@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from . import op8_pii as _op8
+from . import op11_lexical as _op11
+from . import op12_licenses as _op12
 from .op1_pfor import op1_pfor
 from .op2_toxicity import op2_toxicity
 from .op3_line_dedup import op3_line_dedup
@@ -13,7 +15,9 @@ from .op7_html import op7_html
 from .op8_pii import op8_pii
 from .op9_near_vectors import op9_near_vectors
 from .op10_token_counts import op10_token_counts
+from .op11_lexical import op11_lexical
+from .op12_licenses import op12_licenses
 
-QUERIES = {f.__name__: f for f in (op1_pfor, op2_toxicity, op3_line_dedup, op4_decontam, op5_ngram_join, op6_packing, op7_html, op8_pii, op9_near_vectors, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_pfor, op2_toxicity, op3_line_dedup, op4_decontam, op5_ngram_join, op6_packing, op7_html, op8_pii, op9_near_vectors, op10_token_counts, op11_lexical, op12_licenses)}
 
-ORACLES: dict[str, str] = {"op8_pii": _op8.ORACLE}
+ORACLES: dict[str, str] = {"op8_pii": _op8.ORACLE, "op11_lexical": _op11.ORACLE, "op12_licenses": _op12.ORACLE}

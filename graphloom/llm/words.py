@@ -17,6 +17,9 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x5851F42D4C957F2D
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: What stands between terms of letters and digits: every ASCII byte that is neither, A-Z counting as letters.
+SIGNS = np.ones(256, bool)
+SIGNS[128:] = SIGNS[48:58] = SIGNS[65:91] = SIGNS[97:123] = False
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -54,15 +57,15 @@ def raw(column) -> tuple[np.ndarray, np.ndarray]:
     return every[at[0] : at[-1]], at - at[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of every word, in order."""
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of every word, in order; ``gap`` tells the bytes that stand between words."""
     value = _FOLDED if fold else _PLAIN
     found, at, n = [], 0, len(data)
     cut = np.unique(offsets)
     while at < n:
         end = min(n, at + BLOCK)
         if end < n:  # end behind a blank or a row's last byte
-            blank = np.flatnonzero(SPACE[data[at:end]])
+            blank = np.flatnonzero(gap[data[at:end]])
             rows = cut[(cut > at) & (cut <= end)]
             best = max(int(blank[-1]) + at + 1 if len(blank) else 0, int(rows[-1]) if len(rows) else 0)
             if best > at:
@@ -72,14 +75,14 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.
                 stop = int(later[0]) if len(later) else n
                 k = end
                 while k < stop:
-                    blank = np.flatnonzero(SPACE[data[k : k + BLOCK]])
+                    blank = np.flatnonzero(gap[data[k : k + BLOCK]])
                     if len(blank):
                         stop = min(stop, k + int(blank[0]))
                         break
                     k += BLOCK
                 end = stop
         block = data[at:end]
-        ink = ~SPACE[block]
+        ink = ~gap[block]
         size = len(block)
         first, last = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
         first[0] = last[size] = True
