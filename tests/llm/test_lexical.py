@@ -51,7 +51,7 @@ def corpus():
     rnd = random.Random(3)
     words = ["Ab", "b-c", "ñé", "x1", "the", "die", "ſ", "K", "K", "zz", "q_r", "7"]
     docs = [(rnd.randrange(400), " ".join(rnd.choices(words, range(12, 0, -1), k=rnd.randrange(40)))) for _ in range(300)]
-    docs += [(900 + i, "the die zz") for i in range(80)] + [(None, "zz zz zz"), (None, "zz zz zz"), (5, None), (6, ""), (7, "-- !")]
+    docs += [(900 + i, "the die zz") for i in range(80)] + [(None, "é7 ab"), (None, "é7 ab"), (5, None), (6, ""), (7, "-- !")]
     docs.append((8, "x1 the " * 30_000 + "A" * 200_000))
     items = [(1, "zz THE"), (2, "ab B é7"), (3, None), (4, "nowhere"), (5, ""), (None, "x1"), (6, "7 7 7 k"), (1, "x1"), (1, "zz the")]
     return docs, items
