@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.graph import CodeGraph
-from graphloom.operators import build, incremental
+from graphloom.operators import build, incremental, resolve
 from graphloom.sources import extract, repo
 from graphloom.streaming import debounce
 
@@ -65,8 +65,8 @@ def test_ambiguity(spark):
 
 
 def test_selection(spark):
-    found = spark.createDataFrame([(1, 10, 4, "a"), (1, 11, 2, "b"), (2, 10, 2, "a"), (2, 11, 2, "b"), (3, 10, 1, "a"), (3, 10, 2, "b")], "ref long, id long, priority int, reason string")
-    assert {(r["ref"], r["state"], r["id"]) for r in build.selected(found).collect()} == {(1, "Resolved", 11), (2, "Ambiguous", None), (3, "Resolved", 10)}
+    found = spark.createDataFrame([(1, 10, 4, 3), (1, 11, 2, 1), (2, 10, 2, 1), (2, 11, 2, 4), (3, 10, 1, 0), (3, 10, 2, 1), (4, 10, 2, 1), (4, 10, 2, 4)], "ref long, id long, priority int, rule int")
+    assert {(r["ref"], r["state"], r["id"]) for r in resolve.selected(found).collect()} == {(1, "Resolved", 11), (2, "Ambiguous", None), (3, "Resolved", 10), (4, "Resolved", 10)}
 
 
 @pytest.mark.parametrize(
