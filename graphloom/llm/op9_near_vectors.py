@@ -12,7 +12,9 @@ rows do not grow with the square of a group of near copies.
 Vectors that are null, zero, of a length other than the usual one of their
 label, or with null or non-finite components, and rows with a null label, are
 linked with nothing.  Repeated rows (same id, vector and label) count as one
-vector and are all kept.  Rows with a null id are kept and link with nothing.
+vector and are all kept.  One id may stand for several vectors, under one label
+or more: each row has the links of its own vector, in its own label, and ids
+alone tie nothing together.  Rows with a null id are kept and link with nothing.
 """
 
 from __future__ import annotations
@@ -82,8 +84,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     src = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].cast("array<double>").alias("v"), vectors[label_col].cast("string").alias("label"))
     rows = common.written(src.mapInArrow(clean, "id long, label string, x array<double>, digest binary"), "vectors")
     usable = rows.where("id IS NOT NULL AND label IS NOT NULL AND digest IS NOT NULL")
-    classes = common.written(usable.groupBy("label", "digest").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies")), "vector-classes")
-    reps = usable.join(classes.select("label", "digest", F.col("rep").alias("id"), "copies"), ["label", "digest", "id"]).dropDuplicates(["label", "id"]).select("id", "label", "x", F.size("x").alias("dim"), "copies")
+    # vectors are known by their label and content: one id may have several
+    classes = usable.groupBy("label", "digest").agg(F.min("id").alias("low"), F.count_distinct("id").alias("copies"))
+    classes = common.written(classes.withColumn("number", F.monotonically_increasing_id()), "vector-classes")
+    reps = usable.withColumnRenamed("id", "low").join(classes, ["label", "digest", "low"]).dropDuplicates(["number"]).select(F.col("number").alias("id"), "label", "x", F.size("x").alias("dim"), "copies")
     reps = common.written(reps, "vector-reps")
 
     # one row per (label, dimension): how many vectors, hence how many centres
@@ -137,11 +141,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     # every member is in one slice of one shard, so a link is counted once for each of its ends; at most two rows a row
     links = common.written(spread.groupBy("label", "shard", "i", "j").applyInPandas(search, "a long, b long, others long"), "vector-links")
-    degree = links.groupBy(F.col("a").alias("rep")).agg(F.sum("others").alias("others"))
+    degree = links.groupBy(F.col("a").alias("number")).agg(F.sum("others").alias("others"))
     links = links.where("a <> b").select("a", "b")
-    comp = common.components(links).select(F.col("id").alias("rep"), "component_id")
-    info = classes.join(degree, "rep", "left").join(comp, "rep", "left")
-    info = info.select("label", "digest", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    comp = common.components(links).select(F.col("id").alias("number"), F.col("component_id").alias("root"))
+    info = classes.join(degree, "number", "left").join(comp, "number", "left").withColumn("root", F.coalesce("root", "number"))
+    lowest = info.groupBy("root").agg(F.min("low").alias("component_id"))
+    info = info.join(lowest, "root").select("label", "digest", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = rows.select("id", "label", "digest").join(info, ["label", "digest"], "left")
     bad = F.col("id").isNull()
     component = F.when(bad, None).otherwise(F.coalesce("component_id", "id"))

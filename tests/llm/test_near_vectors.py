@@ -53,3 +53,27 @@ def test_recall_of_ten_thousand_near_copies(spark):
     assert sum(exact) > 90_000_000
     found = op9_near_vectors.near_vectors(spark.createDataFrame([(i, v, 0) for i, v in enumerate(vecs.tolist())], "vec_id long, embedding array<double>, label int"))
     assert op9_near_vectors.recall(found, spark.createDataFrame(list(enumerate(exact)), "vec_id long, n_links long")) == 1.0
+
+
+def test_one_id_for_several_vectors_and_labels(spark):
+    """Rows are told apart by id, label and vector; the brute force compares rows, repeated ones once."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 16))
+    rows = []
+    for _ in range(300):
+        v = base[rng.integers(12)] + rng.normal(size=16) * rng.choice([0.0, 0.05, 0.12])
+        rows.append((int(rng.integers(60)), v.tolist(), int(rng.integers(3))))
+    rows += rows[:40] + [(7, None, 1), (7, [0.0] * 16, 1), (7, base[0].tolist(), None)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in op9_near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    known = sorted({(i, y, tuple(v)) for i, v, y in rows if v and any(v) and y is not None})
+    x = np.array([k[2] for k in known])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([k[1] for k in known])
+    near = (x @ x.T >= op9_near_vectors.COSINE) & (label[:, None] == label)
+    reach = near.copy()
+    while (more := reach @ near).sum() > reach.sum():
+        reach = more
+    ids = np.array([k[0] for k in known])
+    of = {k: (k[0], int(near[n].sum()) - 1, int(ids[reach[n]].min())) for n, k in enumerate(known)}
+    want = [(*of[i, y, tuple(v)], of[i, y, tuple(v)][2] == i) if v and any(v) and y is not None else (i, 0, i, True) for i, v, y in rows]
+    assert got == sorted(want) and any(w[1] for w in want)
