@@ -165,23 +165,67 @@ def refined_calls(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def flow_paths(flow: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int = 15, max_paths: int | None = None) -> DataFrame:
     """Simple paths from sources to sinks (id) over flow edges (src, dst, confidence): (path, length, confidence), shortest first.
 
-    The confidence of a path is that of its weakest step.
+    The confidence of a path is that of its weakest step.  Walks of exact length
+    back from the sinks come first; a path goes on only to nodes from which a
+    sink is so many steps away as are left.  With ``max_paths`` the search ends
+    with the level that fills it, and where the nodes on such walks form no
+    cycle, so that every kept path does end, a level keeps of each final length
+    only as many paths as are still wanted, in their order.
     """
     weak = lambda c: S.code(c, S.CONFIDENCES)
-    e = cut(flow.groupBy("src", "dst").agg(F.min(weak(F.col("confidence"))).alias("code")))
-    paths = sources.select(F.array(F.col("id").cast("string")).alias("path"), F.col("id").alias("at"), F.lit(1).alias("code")).distinct()
-    goal = sinks.select(F.col("id").alias("at")).distinct()
-    found = None
+    e = flow.groupBy("src", "dst").agg(F.min(weak(F.col("confidence"))).alias("code")).where("src <> dst")
+    goal = cut(sinks.select(F.col("id").alias("node")).distinct())
+    # (node, left): a sink is exactly so many steps ahead, walks through other sinks included
+    e, front = cut(e), goal.withColumn("left", F.lit(0))
+    ahead = front
     for n in range(1, max_depth + 1):
-        paths = paths.withColumnRenamed("at", "src").withColumnRenamed("code", "before").join(e, "src").where(~F.array_contains("path", F.col("dst").cast("string")))
-        paths = cut(paths.select(F.concat("path", F.array(F.col("dst").cast("string"))).alias("path"), F.col("dst").alias("at"), F.greatest("before", "code").alias("code")))
-        hit = paths.join(goal, "at", "left_semi").select(F.array_join("path", " -> ").alias("path"), F.lit(n).cast("long").alias("length"), F.element_at(F.array(*map(F.lit, S.CONFIDENCES)), F.col("code")).alias("confidence"))
-        found = hit if found is None else found.union(hit)
-        if paths.isEmpty():
+        front = cut(front.select(F.col("node").alias("dst")).join(e, "dst").select(F.col("src").alias("node")).distinct().withColumn("left", F.lit(n)))
+        if front.isEmpty():
             break
+        ahead = cut(ahead.union(front))
+    on_way = ahead.select("node").distinct()
+    e = cut(e.join(on_way.withColumnRenamed("node", "src"), "src", "left_semi").join(on_way.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+    bounded = max_paths is not None and acyclic(e)
+    lefts = ahead.groupBy(F.col("node").alias("at")).agg(F.array_sort(F.collect_set("left")).alias("lefts"))
+    paths = cut(sources.select(F.array(F.col("id").cast("string")).alias("path"), F.col("id").alias("at"), F.lit(1).alias("code")).distinct())
+    found = paths.select(F.array_join("path", " -> ").alias("path"), F.lit(0).cast("long").alias("length"), F.lit("").alias("confidence")).limit(0)
+    held = 0
+    for n in range(1, max_depth + 1):
+        step = paths.withColumnRenamed("at", "src").withColumnRenamed("code", "before").join(e, "src").where(~F.array_contains("path", F.col("dst").cast("string")))
+        step = step.select(F.concat("path", F.array(F.col("dst").cast("string"))).alias("path"), F.col("dst").alias("at"), F.greatest("before", "code").alias("code"))
+        step = cut(step.join(lefts, "at").where(F.exists("lefts", lambda x: x <= max_depth - n)))
+        hit = step.where(F.array_contains("lefts", 0)).select(F.array_join("path", " -> ").alias("path"), F.lit(n).cast("long").alias("length"), F.element_at(F.array(*map(F.lit, S.CONFIDENCES)), F.col("code")).alias("confidence"))
+        found = cut(found.union(hit))
+        held = found.count() if max_paths is not None else 0
+        if step.isEmpty() or (max_paths is not None and held >= max_paths):
+            break
+        paths = step.drop("lefts")
+        if bounded:
+            each = step.select("path", "at", "code", F.array_join("path", " -> ").alias("text"), F.explode(F.filter("lefts", lambda x: (x > 0) & (x <= max_depth - n))).alias("left"))
+            first = Window.partitionBy("left").orderBy("text")
+            paths = cut(each.withColumn("r", F.row_number().over(first)).where(F.col("r") <= max_paths - held).select("path", "at", "code").distinct())
     return found.orderBy("length", "path").limit(max_paths) if max_paths is not None else found
 
 
+def acyclic(e: DataFrame) -> bool:
+    """Whether edges (src, dst) form no cycle: nodes without an edge in, or none out, are peeled off until none is left."""
+    left = e.select("src", "dst")
+    while True:
+        size = left.count()
+        if not size:
+            return True
+        inner = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        left = cut(inner.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if left.count() == size:
+            return False
+
+
+def named_flows(flow: DataFrame, names: DataFrame, source: str, sink: str, **limits) -> DataFrame:
+    """:func:`flow_paths` from nodes whose name (id, name) contains ``source`` to those whose name contains ``sink``."""
+    with_name = lambda text: names.where(F.lower("name").contains(text.lower())).select("id")
+    return flow_paths(flow, with_name(source), with_name(sink), **limits)
+
+
 def call_flow(calls: DataFrame, arguments: DataFrame, parameters: DataFrame, returns: DataFrame) -> DataFrame:
     """Flow edges (src, dst, kind, confidence) between functions.
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import schema as S
 from ..functions.text import parent_module
 from ..sources.tables import cut
+from . import ranks
 
 
 def edge_filter(edges: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -83,7 +84,7 @@ def component_ids(components: DataFrame, p_edges: DataFrame) -> DataFrame:
     """(id, number, size, trivial): numbers by size, then first member; a single node without a loop is trivial."""
     loops = p_edges.where("src = dst").select(F.col("src").alias("id")).distinct().withColumn("loop", F.lit(True))
     per = components.groupBy("component_id").agg(F.min("id").alias("first"), F.count("*").alias("size"))
-    numbered = per.withColumn("number", F.row_number().over(Window.orderBy(F.desc("size"), "first")).cast("long") - 1)
+    numbered = ranks.numbered(per, F.desc("size"), F.asc("first"))
     j = components.select("id", "component_id").join(numbered, "component_id").join(loops, "id", "left")
     return j.select("id", "number", "size", ((F.col("size") == 1) & F.col("loop").isNull()).alias("trivial"))
 
@@ -100,27 +101,55 @@ def hotspots(p_nodes: DataFrame, p_edges: DataFrame, ranks: DataFrame, component
 def cycles(p_edges: DataFrame, components: DataFrame, max_length: int = 20, max_cycles: int | None = 100, self_loops: bool = False) -> DataFrame:
     """Elementary cycles (path, length), each once, from its smallest member; ``components`` as of :func:`component_ids`.
 
-    Paths grow inside a component, only to larger members than their start.  A
-    limit keeps the first in the order of length and path.
+    Paths grow inside a component, only to larger members than their start, and
+    only where the start can still be reached within the length over such
+    members.  A limit keeps the first in the order of length and path; the search
+    ends with the level that fills it, as all longer cycles come after.
     """
     same = p_edges.join(components.where("NOT trivial").select(F.col("id").alias("src"), F.col("number").alias("a")), "src").join(components.select(F.col("id").alias("dst"), F.col("number").alias("b")), "dst").where("a = b")
     e = cut(same.select("src", "dst"))
     loops = e.where("src = dst").select(F.array("src").alias("path"), F.lit(1).cast("long").alias("length"))
-    e = e.where("src <> dst")
-    found = loops if self_loops else loops.limit(0)
-    paths = e.where("dst > src").select(F.array("src", "dst").alias("path"))
+    e = e.where("src <> dst").distinct()
+    found = cut(loops if self_loops else loops.limit(0))
+    back = returns(e, max_length - 1)
+    paths = e.where("dst > src").select(F.array("src", "dst").alias("path"), F.col("dst").alias("at"), F.col("src").alias("start"))
     for n in range(2, max_length + 1):
-        paths = cut(paths)
-        last = paths.withColumn("src", F.element_at("path", -1)).withColumn("start", F.element_at("path", 1))
-        step = last.join(e, "src")
-        found = found.union(step.where("dst = start").select("path", F.lit(n).cast("long").alias("length")))
-        if n == max_length or paths.isEmpty():
+        # n nodes so far; the way home takes as many more as are left
+        paths = cut(paths.join(back.select("start", F.col("node").alias("at"), "hops"), ["start", "at"]).where(F.col("hops") <= max_length - n + 1))
+        if paths.isEmpty():
             break
-        paths = step.where("dst > start AND NOT array_contains(path, dst)").select(F.concat("path", F.array("dst")).alias("path"))
+        hit = paths.where("hops = 1").select("path", F.lit(n).cast("long").alias("length"))
+        found = cut(found.union(hit))
+        if n == max_length or (max_cycles is not None and found.count() >= max_cycles):
+            break
+        step = paths.select("path", "start", F.col("at").alias("src")).join(e, "src").where("dst > start AND NOT array_contains(path, dst)")
+        paths = step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at"), "start")
     out = found.select(F.array_join(F.col("path").cast("array<string>"), " -> ").alias("path"), "length")
     return out.orderBy("length", "path").limit(max_cycles) if max_cycles is not None else out
 
 
+def returns(e: DataFrame, most: int) -> DataFrame:
+    """(start, node, hops): fewest edges from a node back to a smaller start over nodes larger than it, at most ``most``."""
+    front = cut(e.where("src > dst").select(F.col("dst").alias("start"), F.col("src").alias("node"), F.lit(1).alias("hops")).distinct())
+    every = front
+    for h in range(2, most + 1):
+        step = front.select("start", F.col("node").alias("dst")).join(e, "dst").where("src > start").select("start", F.col("src").alias("node")).distinct()
+        front = cut(step.join(every, ["start", "node"], "left_anti").withColumn("hops", F.lit(h)))
+        if front.isEmpty():
+            break
+        every = cut(every.union(front))
+    return every
+
+
+def cycle_kinds(found: DataFrame, p_edges: DataFrame) -> DataFrame:
+    """(path, length, edge_kinds): of every step of a cycle the kinds of its projected edge; ``p_edges`` has ``kinds``."""
+    nodes = F.split("path", " -> ")
+    steps = found.select("path", "length", F.posexplode(F.arrays_zip(nodes.alias("a"), F.concat(F.slice(nodes, 2, F.size(nodes)), F.slice(nodes, 1, 1)).alias("b"))).alias("n", "step")).select("path", "length", "n", F.col("step.a").alias("src"), F.col("step.b").alias("dst"))
+    kinds = p_edges.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "kinds")
+    per = steps.join(kinds, ["src", "dst"]).groupBy("path", "length").agg(F.array_sort(F.collect_list(F.struct("n", "kinds"))).alias("s"))
+    return per.select("path", "length", F.expr("transform(s, x -> x.kinds)").alias("edge_kinds"))
+
+
 def communities(p_nodes: DataFrame, p_edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, label) by synchronous label propagation: summed weights both ways, a vote of one for the own label, ties to the smallest label."""
     votes = p_edges.select(F.col("src").alias("id"), F.col("dst").alias("from"), "weight").union(p_edges.select("dst", "src", "weight")).union(p_nodes.select("id", "id", F.lit(1).cast("long")))
@@ -141,7 +170,7 @@ def community_report(labels: DataFrame, p_edges: DataFrame) -> DataFrame:
     ends = p_edges.join(labels.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst")
     counts = ends.groupBy(F.col("a").alias("label")).agg(F.count_if(F.col("a") == F.col("b")).alias("internal_edges"), F.count_if(F.col("a") != F.col("b")).alias("external_edges"))
     per = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-    numbered = per.withColumn("number", F.row_number().over(Window.orderBy(F.desc("size"), "first")).cast("long") - 1)
+    numbered = ranks.numbered(per, F.desc("size"), F.asc("first"))
     return numbered.join(counts, "label", "left").na.fill(0, ["internal_edges", "external_edges"]).select("number", "label", "size", "internal_edges", "external_edges")
 
 
@@ -163,7 +192,7 @@ def shortest_path(edges: DataFrame, start: int, goal: int, max_depth: int = 20,
         first = Window.partitionBy("dst").orderBy("parent_rank", "edge_id", "kind")
         new = ahead.withColumn("n", F.row_number().over(first)).where("n = 1")
         # places within a level: by parent, then node
-        ranked = new.withColumn("rank", F.dense_rank().over(Window.orderBy("parent_rank", "dst")).cast("long"))
+        ranked = ranks.numbered(new, "parent_rank", "dst", name="rank", start=1)
         front = cut(ranked.select(F.col("dst").alias("node"), "rank", F.col("src").alias("parent"), "edge_id", "kind", F.lit(depth).cast("long").alias("depth")))
         seen = seen.union(front)
         if max_visited is not None and seen.count() > max_visited:
@@ -204,7 +233,7 @@ def impact(nodes: DataFrame, edges: DataFrame, target: int, max_depth: int = 3)
         ahead = front.select(F.col("id").alias("dst"), F.col("rank").alias("parent_rank"), F.col("name").alias("parent"), F.col("path").alias("before")).join(e, "dst").join(seen.select(F.col("id").alias("src")), "src", "left_anti")
         first = Window.partitionBy("src").orderBy("parent_rank", "code", "dst")
         new = ahead.withColumn("n", F.row_number().over(first)).where("n = 1").join(names.withColumnRenamed("id", "src"), "src")
-        new = new.withColumn("rank", F.dense_rank().over(Window.orderBy("parent_rank", "code", "src")).cast("long"))
+        new = ranks.numbered(new, "parent_rank", "code", "src", name="rank", start=1)
         front = cut(new.select(F.col("src").alias("id"), F.lit(d).cast("long").alias("depth"), "rank", "kind", "name", F.concat("name", F.lit(" -> "), F.lower("kind"), F.lit(" -> "), "parent").alias("because"), F.concat("before", F.lit(" > "), "qualified_name").alias("path")))
         if front.isEmpty():
             break
