@@ -37,8 +37,8 @@ def related(edges: DataFrame, node: int, incoming: bool = False) -> DataFrame:
 
 
 def explained(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """For every node: parent (least source of Contains), distinct neighbours each way, callers, callees, imports (by edge)."""
-    inn = edges.groupBy(F.col("dst").alias("id")).agg(F.min(F.when(F.col("kind") == "Contains", F.col("src"))).alias("parent"), F.count_distinct("src").alias("incoming"), F.count_if(F.col("kind") == "Calls").alias("callers"))
+    """For every node: parent (least source of Contains, as an unsigned number), distinct neighbours each way, callers, callees, imports (by edge)."""
+    inn = edges.groupBy(F.col("dst").alias("id")).agg(F.min(F.when(F.col("kind") == "Contains", F.struct((F.col("src") < 0).alias("high"), F.col("src").alias("id"))))["id"].alias("parent"), F.count_distinct("src").alias("incoming"), F.count_if(F.col("kind") == "Calls").alias("callers"))
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count_distinct("dst").alias("outgoing"), F.count_if(F.col("kind") == "Calls").alias("callees"), F.count_if(F.col("kind") == "Imports").alias("imports"))
     return nodes.select("id", "kind", "qualified_name").join(inn, "id", "left").join(out, "id", "left").na.fill(0, ["incoming", "callers", "outgoing", "callees", "imports"])
 

@@ -121,12 +121,12 @@ def flow_edges(flow: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
     """
     from ..operators.compare import call_flow
 
-    fn = nodes.where("kind IN ('Function', 'Method', 'Constructor')").groupBy("file", F.col("name").alias("function")).agg(F.min("id").alias("fid"))
+    fn = nodes.where("kind IN ('Function', 'Method', 'Constructor')").groupBy("file", F.col("name").alias("function")).agg(F.min_by("id", F.struct(F.col("id") < 0, F.col("id"))).alias("fid"))
     f = flow.join(fn, ["file", "function"])
     var = lambda owner, name: F.concat(F.col(owner).cast("string"), F.lit(":"), F.col(name))
     inner = f.where("kind = 'assignment' AND source IS NOT NULL").select(var("fid", "source").alias("src"), var("fid", "variable").alias("dst"), F.lit("assignment").alias("kind"), F.lit("Extracted").alias("confidence"))
     names = nodes.select(F.col("id").alias("dst"), F.col("name").alias("callee"))
-    goes = edges.where("kind = 'Calls'").join(names, "dst").groupBy(F.col("src").alias("fid"), "callee").agg(F.min("dst").alias("to"))
+    goes = edges.where("kind = 'Calls'").join(names, "dst").groupBy(F.col("src").alias("fid"), "callee").agg(F.min_by("dst", F.struct(F.col("dst") < 0, F.col("dst"))).alias("to"))
     calls = f.where("kind = 'call'").join(goes, ["fid", "callee"]).select("call", F.col("fid").alias("caller"), F.col("to").alias("callee"), var("fid", "variable").alias("assigned"))
     arguments = f.where("kind = 'argument'").select("call", "position", var("fid", "variable").alias("variable"))
     parameters = f.where("kind = 'parameter'").select(F.col("fid").alias("function"), "position", var("fid", "variable").alias("variable"))
