@@ -82,6 +82,14 @@ def dropped(*tables: DataFrame | None) -> None:
             remove_path(df.sparkSession, path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def released(spark: SparkSession) -> None:
     """Have Spark remove the shuffle files that no query needs any more.
 

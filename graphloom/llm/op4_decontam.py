@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare seeds, then Smith-Waterman alignment.
 
 Every run of ``seed`` words of a test item is counted over all documents; the
-rarer half of an item's seeds, at least ``least`` of them, joins passages to the
-item.  Around the diagonal that its seed hits name, the passage is aligned to
+rarest that occur, as many as half of an item's seeds, ``least`` at least, join
+passages to the item.  Around the diagonal that its seed hits name, the passage is aligned to
 the whole item by words (match +2, mismatch and gap -1); the score is the best
 local alignment over the item's perfect score.  Two hits are enough, one if the
 item has fewer than two seeds, and every diagonal band with hits is aligned.
@@ -123,6 +123,12 @@ def slices(bench: DataFrame, item_col: str, text_col: str, chars: int = SLICE_CH
         yield held
 
 
+def rarest(gs: list[str], df: dict[str, int], least: int) -> list[str]:
+    """The seeds that join: as many as half of an item's, ``least`` at least, the rarest of those that occur in documents at all."""
+    every = sorted(set(gs), key=lambda g: (df.get(g, 0), g))
+    return [g for g in every if df.get(g, 0)][: max(least, -(-len(every) // 2))]
+
+
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", seed: int = SEED, least: int = LEAST_SEEDS, threshold: float = SCORE) -> DataFrame:
     """(id_col, key, item_id, score, first_word, end_word) of every match; key is the hash of the text."""
     spark = docs.sparkSession
@@ -150,8 +156,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         df = {r[0]: r[1] for r in src.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n")).collect()}
         chosen = []
         for i, ws in items:
-            gs = sorted(set(grams(ws, seed)), key=lambda g: (df.get(g, 0), g))
-            chosen.append((i, ws, gs[: max(least, -(-len(gs) // 2))]))
+            chosen.append((i, ws, rarest(grams(ws, seed), df, least)))
         held = spark.sparkContext.broadcast(Matcher(chosen, seed, threshold))
 
         def match(batches, held=held):
@@ -168,8 +173,9 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the rows that hold a test item."""
-    bad = contamination(docs, bench, id_col, text_col, **how).select(F.col(id_col).alias("__id"), F.col("key").alias("__key")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left_anti")
+    ids, keys = common.free_name(docs, "found_id"), common.free_name(docs, "found_key")
+    bad = contamination(docs, bench, id_col, text_col, **how).select(F.col(id_col).alias(ids), F.col("key").alias(keys)).distinct()
+    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col(ids)) & (F.xxhash64(docs[text_col]) == F.col(keys)), "left_anti")
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
