@@ -36,7 +36,8 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     survivor stay too, as they are other documents; rows with a null id all stay.
     """
     kept = op5_ngram_join.ngram_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi").withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    key = common.free_name(docs, "text_key")
+    once = docs.join(kept, "doc_id", "left_semi").withColumn(key, F.xxhash64("text")).dropDuplicates(["doc_id", key]).drop(key)
     return once.select(docs.columns).union(docs.where("doc_id IS NULL"))
 
 
