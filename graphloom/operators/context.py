@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import schema as S
 from ..functions.text import approx_tokens
 from ..sources.tables import cut
-from . import intel
+from . import intel, ranks
 
 
 def seeds(nodes: DataFrame, symbol: str | None = None, file: str | None = None, query: str | None = None, changed: DataFrame | None = None, ranks: DataFrame | None = None) -> DataFrame:
@@ -42,8 +42,8 @@ def expanded(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_depth: in
     by_symbol = at.join(found, (found["source_symbol"] == at["qualified_name"])).select("test_file", "test_symbol")
     tests = by_file.union(by_symbol).distinct()
     test_ids = tests.where("test_symbol IS NOT NULL").join(nodes.select("id", F.col("qualified_name").alias("test_symbol")), "test_symbol").select("id").union(tests.where("test_symbol IS NULL").join(nodes.where("kind = 'File'").select("id", F.col("file").alias("test_file")), "test_file").select("id")).distinct()
-    first = start.select("id").distinct().withColumn("role", F.lit("Seed")).withColumn("distance", F.lit(0).cast("long")).withColumn("rank", F.row_number().over(Window.orderBy("id")).cast("long"))
-    first = cut(first)
+    first = start.select("id").distinct().withColumn("role", F.lit("Seed")).withColumn("distance", F.lit(0).cast("long"))
+    first = cut(ranks.numbered(first, *S.unsigned_order("id"), name="rank", start=1))
     tested = test_ids.join(first, "id", "left_anti").select("id", F.lit("Test").alias("role"), F.lit(1).cast("long").alias("distance"), F.lit(0).cast("long").alias("rank"))
     seen = cut(first.union(tested))
     front = first
@@ -64,8 +64,8 @@ def expanded(nodes: DataFrame, edges: DataFrame, start: DataFrame, max_depth: in
         new = ahead.withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy("parent_rank", "phase", "code", "a"))).where("n = 1")
         new = new.join(of.select(F.col("id").alias("b"), "name", "file"), "b")
         role = F.when((F.col("role") == "Caller") & S.looks_like_test(F.col("name"), F.col("file")), "Test").when(F.col("role").isin("Caller", "Callee") & F.lit(d > 1), "IndirectNeighbor").otherwise(F.col("role"))
-        rank = F.row_number().over(Window.orderBy("parent_rank", "phase", "code", "b")).cast("long")
-        front = cut(new.select(F.col("b").alias("id"), role.alias("role"), F.lit(d).cast("long").alias("distance"), rank.alias("rank")))
+        new = ranks.numbered(new, "parent_rank", "phase", "code", "b", name="rank", start=1)
+        front = cut(new.select(F.col("b").alias("id"), role.alias("role"), F.lit(d).cast("long").alias("distance"), "rank"))
         if front.isEmpty():
             break
         seen = seen.union(front)
@@ -150,7 +150,7 @@ def bundled(items: DataFrame) -> DataFrame:
 def context(nodes: DataFrame, edges: DataFrame, files: DataFrame, start: DataFrame, limit: int = 8000, max_depth: int = 3, max_candidates: int = 100) -> DataFrame:
     """The bundle: slices (file, start_line, end_line, id, tokens, text, totals) of what fits the budget, nodes with a ``location``."""
     found = ranked(expanded(nodes, edges, start, max_depth, max_candidates), nodes)
-    order = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "distance", "qualified_name", "id")).cast("long"))
+    order = ranks.numbered(found, F.desc("score"), "distance", "qualified_name", *S.unsigned_order("id"), name="rank", start=1)
     spans = nodes.join(order.select("id"), "id", "left_semi").select("id", F.col("location.file").alias("file"), *(F.col(f"location.{c}").alias(c) for c in ("start_line", "start_col", "end_line", "end_col")))
     cut_out = slices(spans, files)
     fit = allocated(order.join(cut_out.select("id", F.col("tokens").alias("cost")), "id").select("rank", "id", "cost"), limit).where("included")

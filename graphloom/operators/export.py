@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
+from . import ranks
 
 ROUTINES, HOLDERS = ("Function", "Method", "Constructor"), ("Module", "Package", "Namespace")
 # Shape, fill and text colour of kinds of nodes, colour and style of kinds of edges.
@@ -63,7 +64,7 @@ def mermaid(nodes: DataFrame, edges: DataFrame, max_nodes: int | None = None) ->
     k = F.col("kind")
     text = F.concat(F.lit('"'), k, F.lit(": "), S.escape_mermaid(F.col("name")), F.lit('"'))
     shape = F.when(k.isin("Struct", "Class"), F.concat(F.lit("[["), text, F.lit("]]"))).when(k.isin("Trait", "Interface"), F.concat(F.lit("{"), text, F.lit("}"))).when(k == "Enum", F.concat(F.lit("[\\"), text, F.lit("/]"))).when(k.isin(*ROUTINES), F.concat(F.lit("(["), text, F.lit("])"))).when(k.isin(*HOLDERS), F.concat(F.lit("[/"), text, F.lit("/]"))).otherwise(F.concat(F.lit("["), text, F.lit("]")))
-    files = nodes.select("file").distinct().withColumn("n", F.row_number().over(Window.orderBy("file")))
+    files = ranks.numbered(nodes.select("file").distinct(), "file", name="n", start=1)
     begin = files.select(F.lit(1).alias("part"), F.concat_ws("\0", "file", F.lit("0")).alias("at"), F.concat(F.lit("  subgraph sub_"), F.col("n").cast("string"), F.lit(' ["'), S.escape_mermaid(F.col("file")), F.lit('"]')).alias("line"))
     inside = nodes.select(F.lit(1), F.concat_ws("\0", "file", F.lit("1"), "qualified_name", number("id")), F.concat(F.lit("    node_"), number("id"), shape))
     end = files.select(F.lit(1), F.concat_ws("\0", "file", F.lit("2")), F.lit("  end"))
