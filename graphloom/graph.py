@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import build, compare, context, export, graphs, incremental, intel, queries
 from .operators import traverse as tr
-from .sources import repo
+from .sources import index_files, repo
 from .sources.tables import cut
 
 
@@ -19,7 +19,34 @@ class CodeGraph:
 
     @classmethod
     def from_repo(cls, spark: SparkSession, root: str) -> CodeGraph:
-        return cls.from_sources(repo.source_text(repo.scan(spark, root)))
+        scanned = cut(repo.scan(spark, root))
+        graph = cls.from_sources(repo.source_text(scanned))
+        graph.scanned = scanned.drop("content")
+        return graph
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> CodeGraph:
+        """The stored index of a tree, a graph document, or else a build of the tree; damaged ones are an error."""
+        built = []
+
+        def build_now():
+            built.append(cls.from_repo(spark, root))
+            return built[0].nodes, built[0].edges
+
+        nodes, edges, source = index_files.opened(spark, root, build_now)
+        graph = built[0] if built else cls(nodes, edges).checked()
+        graph.source = source
+        return graph
+
+    @classmethod
+    def current(cls, spark: SparkSession, root: str) -> CodeGraph:
+        """The stored index if it is that of the tree as it stands; else the tree is built and its index saved."""
+        where = f"{root}/.graphloom/index"
+        if index_files.state(spark, where, repo.scan(spark, root).drop("content"))[0] == index_files.CURRENT:
+            return cls.load(spark, where)
+        graph = cls.from_repo(spark, root)
+        graph.save(where)
+        return graph
 
     @classmethod
     def from_sources(cls, sources: DataFrame) -> CodeGraph:
@@ -36,16 +63,19 @@ class CodeGraph:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> CodeGraph:
         """What :meth:`save` wrote; broken invariants are an error."""
-        graph = cls(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
-        broken = build.invalid(graph.nodes, graph.edges).collect()  # six rows at most
+        tables = index_files.load(spark, path)
+        return cls(tables["nodes"], tables["edges"]).checked()
+
+    def checked(self) -> CodeGraph:
+        broken = build.invalid(self.nodes, self.edges).collect()  # six rows at most
         if broken:
             raise ValueError("; ".join(f"{r['rule']}: {r['n']}" for r in broken))
-        return graph
+        return self
 
     def save(self, path: str) -> None:
-        n, e = build.canonical(self.nodes, self.edges)
-        n.write.mode("overwrite").parquet(f"{path}/nodes")
-        e.write.mode("overwrite").parquet(f"{path}/edges")
+        """An index of the graph, with the files and records that it was built from if they are at hand."""
+        more = {"files": getattr(self, "scanned", None), "records": getattr(self, "records", None)}
+        index_files.save(path, {"nodes": self.nodes, "edges": self.edges} | {k: df for k, df in more.items() if df is not None})
 
     def projected(self, level: str = "file", kinds=None):
         return graphs.projected(self.nodes, self.edges, level, kinds)

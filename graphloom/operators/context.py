@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
-from ..functions.text import approx_tokens
+from ..functions.text import approx_tokens, byte_cut, inside_root
 from ..sources.tables import cut
 from . import intel, ranks
 
@@ -97,26 +97,20 @@ def slices(spans: DataFrame, files: DataFrame) -> DataFrame:
     """Text of spans (id, file, start_line, start_col, end_line, end_col) in files (path, content), with its cost.
 
     Columns are 1-based bytes.  An end column of 1 or less takes its whole line; a
-    cut inside a letter moves forward at the start and back at the end.
+    cut inside a letter moves forward at the start and back at the end.  A line
+    ends at a line feed, with a carriage return before it; lines below 1 and files
+    that are not there give an empty text, a path that leaves the root is an error.
     """
-    j = spans.join(files.select(F.col("path").alias("file"), "content"), "file", "left")
-    lines = F.split(F.coalesce("content", F.lit("")), "\n", -1)
-    part = F.slice(lines, F.greatest(F.col("start_line"), F.lit(1)), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0)))
-
-    def prefix(line: Column, count: Column, up: bool) -> Column:
-        """Characters that ``count`` leading bytes hold, the cut one counted or not."""
-        sizes = F.transform(F.split(line, ""), lambda c: F.octet_length(c))
-        ends = F.aggregate(sizes, F.struct(F.lit(0).alias("b"), F.lit(0).alias("n")), lambda a, x: F.struct((a["b"] + x).alias("b"), (a["n"] + F.when(a["b"] + (0 if up else x) < count + (0 if up else 1), 1).otherwise(0)).alias("n")))
-        return ends["n"]
-
-    n = F.size(part)
-    last = F.element_at(part, -1)
-    tail = F.when(F.col("end_col") <= 1, last).otherwise(F.substring(last, F.lit(1), prefix(last, F.col("end_col") - 1, False)))
-    cut_end = F.when(n > 0, F.concat(F.slice(part, 1, F.greatest(n - 1, F.lit(0))), F.array(tail)))
-    head = F.element_at(cut_end, 1)
-    skip = F.when(F.col("start_col") <= 1, F.lit(0)).otherwise(prefix(head, F.col("start_col") - 1, True))
-    cut_both = F.when(n > 0, F.concat(F.array(head.substr(skip + 1, F.length(head))), F.slice(cut_end, 2, F.greatest(n - 1, F.lit(1)))))
-    text = F.coalesce(F.array_join(cut_both, "\n"), F.lit(""))
+    j = spans.withColumn("key_", inside_root(F.col("file"))).join(files.select(F.col("path").alias("key_"), "content"), "key_", "left")
+    lines = F.split(F.coalesce("content", F.lit("")), "\r?\n", -1)
+    count = F.when(F.col("start_line") < 1, F.lit(0)).otherwise(F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0)))
+    part = F.slice(lines, F.greatest(F.col("start_line"), F.lit(1)), count)
+    n, first, last = F.size(part), F.element_at(part, 1), F.element_at(part, -1)
+    start = F.greatest(F.col("start_col") - 1, F.lit(0))
+    end = F.when(F.col("end_col") <= 1, F.octet_length(last)).otherwise(F.col("end_col") - 1)
+    many = F.concat(F.array(byte_cut(first, start, F.octet_length(first))), F.slice(part, 2, F.greatest(n - 2, F.lit(0))), F.array(byte_cut(last, F.lit(0), end)))
+    text = F.when(n == 0, "").when(n == 1, byte_cut(first, start, end)).otherwise(F.array_join(many, "\n"))
+    text = F.coalesce(text, F.lit(""))
     return j.select("id", "file", "start_line", "end_line", text.alias("text"), approx_tokens(text).alias("tokens"), F.octet_length(text).cast("long").alias("bytes"), F.length(text).cast("long").alias("characters"))
 
 

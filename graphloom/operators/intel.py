@@ -82,8 +82,9 @@ def discovered_tests(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(source_file, source_symbol, test_file, test_symbol, reason), each test once per source.
 
     Tests that call or import a symbol, and test files whose stem contains, or is
-    contained in, that of a source file: stems go by all their substrings, so the
-    pairs come from an equi-join.
+    contained in, that of a source file.  The shorter stem goes by the rarest of
+    its runs of three letters (by all it has, if they are fewer), the longer one by
+    every run of one to three; what meets there is compared.
     """
     of = nodes.select("id", "name", "qualified_name", "file")
     some = edges.where("kind IN ('Calls', 'Imports')")
@@ -92,10 +93,14 @@ def discovered_tests(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     calls = ends.select("source_file", "source_symbol", "test_file", "test_symbol", F.concat(F.lit("test "), "test_name", F.lit(" "), F.lower("kind"), F.lit(" target "), "name").alias("reason"))
     files = nodes.where("kind = 'File'").select("file", S.stem(F.col("file")).alias("stem"), S.is_test_file(F.col("file")).alias("test"))
     n = F.length("stem")
-    parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda a: F.transform(F.sequence(a, F.greatest(n, F.lit(1))), lambda b: F.col("stem").substr(a, b - a + 1)))))
-    inside = files.select("file", "test", F.explode(F.array_union(parts, F.array(F.lit("")))).alias("stem"))
-    source, test = files.where("NOT test").select(F.col("file").alias("source_file"), "stem"), files.where("test").select(F.col("file").alias("test_file"), "stem")
-    pairs = source.join(inside.where("test").select(F.col("file").alias("test_file"), "stem"), "stem").union(test.join(inside.where("NOT test").select(F.col("file").alias("source_file"), "stem"), "stem").select("stem", "source_file", "test_file")).select("source_file", "test_file").distinct()
+    cut_at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda a: F.col("stem").substr(a, F.lit(k)))
+    runs = F.array_distinct(F.flatten(F.array(*map(cut_at, (1, 2, 3)))))
+    holds = files.select("file", "test", F.col("stem").alias("longer"), F.explode(F.array_union(runs, F.array(F.lit("")))).alias("key"))
+    full = (F.length("key") == 3) | (F.length("longer") < 3) & (F.col("key") == F.col("longer"))
+    own = holds.where(full).join(holds.groupBy("key").agg(F.count("*").alias("often")), "key")
+    within = own.groupBy(F.col("file").alias("other"), F.col("test").alias("other_test"), F.col("longer").alias("shorter")).agg(F.min_by("key", F.struct("often", "key")).alias("key"))
+    met = holds.join(within, "key").where((F.col("test") != F.col("other_test")) & F.col("longer").contains(F.col("shorter")))
+    pairs = met.select(F.when(F.col("test"), F.col("other")).otherwise(F.col("file")).alias("source_file"), F.when(F.col("test"), F.col("file")).otherwise(F.col("other")).alias("test_file")).distinct()
     names = pairs.select("source_file", F.lit(None).cast("string").alias("source_symbol"), "test_file", F.lit(None).cast("string").alias("test_symbol"), F.concat(F.lit("matching naming convention between "), "source_file", F.lit(" and "), "test_file").alias("reason"))
     return calls.union(names).groupBy("source_file", "source_symbol", "test_file", "test_symbol").agg(F.min("reason").alias("reason"))
 
