@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import build, compare, context, export, graphs, incremental, intel, queries
 from .operators import traverse as tr
 from .sources import index_files, repo
-from .sources.tables import cut
+from .sources.tables import Scope, cut
 
 
 class CodeGraph:
@@ -86,7 +86,11 @@ class CodeGraph:
 
     @cached_property
     def symbol_ranks(self) -> DataFrame:
-        return cut(self.ranks("symbol"))
+        return cut(self.ranks("symbol"), lasting=True)
+
+    def limited(self, seconds: float | None = None) -> Scope:
+        """``with graph.limited(30) as s: graph.impact(...)``: work that ends by then, or by ``s.cancel()`` from another thread."""
+        return Scope(self.nodes.sparkSession, seconds)
 
     def components(self, level: str = "file", kinds=None) -> DataFrame:
         p_nodes, p_edges = self.projected(level, kinds)

@@ -6,8 +6,10 @@ An id is a type number times ``SPAN`` plus the key of the row.
 
 from __future__ import annotations
 
+import contextvars
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,8 +39,81 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+class Stopped(RuntimeError):
+    """Work that was cancelled or ran out of time."""
+
+
+class Scope:
+    """Work of this thread that can be cancelled, from any thread, and may have a deadline in seconds.
+
+    ``with Scope(spark, 30) as s: ...`` tags the jobs started inside.  ``cancel``
+    interrupts those that run; the next round of an iterative operator ends with
+    :class:`Stopped`.  Intermediate tables lie in one folder: it is removed on the
+    way out of work that failed or was stopped; after success it stays, as results
+    may still be read from it, until ``drop``.
+    """
+
+    def __init__(self, spark: SparkSession, seconds: float | None = None):
+        self.spark, self.seconds, self.why = spark, seconds, None
+        self.tag, self.folder, self.tables = f"graphloom-{uuid.uuid4().hex}", fresh_path(spark, "scope"), 0
+
+    def cancel(self, why: str = "cancelled") -> None:
+        self.why = self.why or why
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)  # a session's own interruptTag knows the tags of the calling thread only
+
+    def check(self) -> None:
+        if self.why:
+            raise Stopped(self.why)
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.check()
+        self.tables += 1
+        path = f"{self.folder}/{self.tables}"
+        df.write.parquet(path)
+        self.check()
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        remove_path(self.spark, self.folder)
+
+    def __enter__(self) -> Scope:
+        self._timer = None
+        if self.seconds is not None:
+            self._timer = threading.Timer(self.seconds, self.cancel, (f"no end within {self.seconds} seconds",))
+            self._timer.daemon = True
+            self._timer.start()
+        sc = self.spark.sparkContext
+        sc.addJobTag(self.tag)
+        sc.setInterruptOnCancel(True)
+        self._before = _SCOPE.set(self)
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        _SCOPE.reset(self._before)
+        sc = self.spark.sparkContext
+        sc.removeJobTag(self.tag)
+        sc.setInterruptOnCancel(False)
+        if self._timer:
+            self._timer.cancel()
+        if error is not None:
+            self.drop()
+            if self.why and not isinstance(error, Stopped):
+                raise Stopped(self.why) from error
+
+
+_SCOPE: contextvars.ContextVar[Scope | None] = contextvars.ContextVar("scope", default=None)
+
+
+def cut(df: DataFrame, lasting: bool = False) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder; in a :class:`Scope`, with a table in its folder.
+
+    What outlives a scope is ``lasting``.
+    """
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.check()
+        if not lasting:
+            return scope.written(df)
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
