@@ -28,6 +28,7 @@ Columns named score and predicted are replaced, all others stay.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -66,18 +67,24 @@ def key(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "replace"))
 
 
+def further(mark: str, numbers: tuple[int, ...]) -> list[tuple[int, bytes]]:
+    return [(k, f"{mark}{k}".encode()) for k in numbers]
+
+
+#: What follows a part in the names of its voters; a crc32 goes on from that of the part.
+OF_LEAST, OF_SHARE = further("#", LEAST), further("%", SHARE)
+ENDS = [end for _, end in OF_LEAST + OF_SHARE]
+
+
 def levels(part: str, count: int, total: int) -> list[int]:
     """The voters that fire for ``count`` words with ``part`` out of ``total``."""
-    out = [key(part)]
-    out += [key(f"{part}#{k}") for k in LEAST if count >= k]
-    out += [key(f"{part}%{k}") for k in SHARE if count * 100 >= k * total]
+    base = key(part)
+    out = [base]
+    out += [zlib.crc32(end, base) for k, end in OF_LEAST if count >= k]
+    out += [zlib.crc32(end, base) for k, end in OF_SHARE if count * 100 >= k * total]
     return out
 
 
-def all_levels(part: str) -> list[int]:
-    return [key(part), *(key(f"{part}#{k}") for k in LEAST), *(key(f"{part}%{k}") for k in SHARE)]
-
-
 def fired_by(counts: Counter[str], total: int) -> list[int]:
     return [v for p, c in counts.items() for v in levels(p, c, total)]
 
@@ -137,21 +144,49 @@ class Model:
     weights: np.ndarray  # voters, then hashed parts, then bias
 
     def scorer(self):
-        k, w = len(self.voters), self.weights
-        of_word = bpe.Words(lambda word: (tuple(p for p in parts(word) if any(v in self.voters for v in all_levels(p))), float(sum(w[k + s] for s in slots(word)))))
+        """Score of a text; what a word and a part of words weigh is remembered, as few of them are new in a text."""
+        voters, k, w = self.voters, len(self.voters), self.weights.tolist()
+        firing: dict[str, tuple] = {}  # parts with voters: their weights at any count, from counts on, from shares on
+
+        def of_voter(v: int) -> float:
+            return w[voters[v]] if v in voters else 0.0
+
+        known = frozenset(voters)
+
+        def weight_of(part: str) -> float:
+            base = key(part)
+            if not known.isdisjoint([base, *[zlib.crc32(end, base) for end in ENDS]]):
+                later = [[(n, of_voter(zlib.crc32(end, base))) for n, end in ends] for ends in (OF_LEAST, OF_SHARE)]
+                firing[part] = (of_voter(base), *later)
+            return w[k + base % HASHED]
+
+        beginnings = bpe.Words(weight_of)
+
+        def of(word: str) -> tuple[tuple[str, ...], float]:
+            held = parts(word)
+            weight = weight_of(word) + sum([beginnings[p] for p in held[1:]])
+            return () if firing.keys().isdisjoint(held) else tuple([p for p in held if p in firing]), weight
+
+        of_word = bpe.Words(of)
 
         def score(text: str | None) -> float:
             bag = words(text)
-            counts: Counter[str] = Counter()
-            value, size = 0.0, 0.0
-            for word in sorted(bag):
+            counts: dict[str, int] = {}
+            values = []
+            for word, n in bag.items():
                 hits, weight = of_word[word]
                 for p in hits:
-                    counts[p] += bag[word]
-                value += weight * bag[word] ** 0.5
-                size += bag[word]
-            vote = sum(w[self.voters[v]] for v in sorted(fired_by(counts, int(size))) if v in self.voters)
-            return float(sigmoid(w[-1] + vote + value / np.sqrt(max(size, 1))))
+                    counts[p] = counts.get(p, 0) + n
+                values.append(weight if n == 1 else weight * n**0.5)
+            size = bag.total()
+            votes = []
+            for p, n in counts.items():
+                always, by_least, by_share = firing[p]
+                votes.append(always)
+                votes += [x for least, x in by_least if n >= least]
+                votes += [x for share, x in by_share if n * 100 >= share * size]
+            # exact sums do not depend on the order of words
+            return float(sigmoid(w[-1] + math.fsum(votes) + math.fsum(values) / max(size, 1) ** 0.5))
 
         return score
 

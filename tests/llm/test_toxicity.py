@@ -55,3 +55,24 @@ def test_held_out_labels_are_not_read(spark):
     rows = lambda flip: spark.createDataFrame([(i, int(i % 4 == 0) if i not in held else flip) for i in range(120)], "doc_id long, toxic int")
     a, b = tox.training_rows(docs, rows(0)), tox.training_rows(docs, rows(1))
     assert len(a.y) == 120 - len(held) and (a.y == b.y).all() and (a.votes == b.votes).all()
+
+
+def plain_score(model, text):
+    """The score by its definition: every voter that fires, every part of every word."""
+    bag = tox.words(text)
+    total, k, w = sum(bag.values()), len(model.voters), model.weights
+    z = w[-1] + sum(w[model.voters[v]] for v in tox.fired_by(tox.part_counts(bag), total) if v in model.voters)
+    return tox.sigmoid(z + sum(w[k + s] * n**0.5 for word, n in bag.items() for s in tox.slots(word)) / max(total, 1) ** 0.5)
+
+
+def test_scores_are_those_of_the_definition(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    texts = [r["text"] for r in rows] + [None, "", "Ünïcode ÜNÏCODE " * 40, "x" * 100_000, "ab abcd abcde abcdefgh " * 9, "😀 scum"]
+    names = [n for t in texts[:40] for p in tox.part_counts(tox.words(t)) for n in (p, f"{p}#2", f"{p}#8", f"{p}%1")][::5]
+    voters = {v: i for i, v in enumerate(dict.fromkeys(map(tox.key, [*tox.LEXICON, *names])))}
+    model = tox.Model(voters, np.random.default_rng(1).normal(0, 0.3, len(voters) + tox.HASHED + 1))
+    score = model.scorer()
+    want, got = np.array([plain_score(model, t) for t in texts]), np.array([score(t) for t in texts])
+    assert len(voters) > 500 and np.abs(want - got).max() < 1e-9
+    small = model.scorer()
+    assert [small(t) for t in reversed(texts)] == list(got[::-1])  # the order of texts changes nothing
