@@ -177,7 +177,7 @@ class CodeGraph:
         return intel.overview(self.nodes, self.edges, self.ranks("module"), graphs.communities(p_nodes, p_edges), self.components("module"))
 
     def explore(self, term: str, depth: int = 2) -> str:
-        return intel.markdown(intel.explore(self.nodes, self.edges, term, depth), term)
+        return intel.markdown(intel.explore(self.nodes, self.edges, term, depth, self.files), term)
 
     def context(self, symbol=None, file=None, query=None, changed=None, limit: int = 8000, max_depth: int = 3, max_candidates: int = 100) -> DataFrame:
         start = context.seeds(self.nodes, symbol, file, query, changed, self.symbol_ranks if query else None)

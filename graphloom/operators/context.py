@@ -93,6 +93,11 @@ def ranked(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.select("id", "qualified_name", "role", "distance", "score").orderBy(F.desc("score"), "distance", "qualified_name", *S.unsigned_order("id"))
 
 
+def spans_of(nodes: DataFrame) -> DataFrame:
+    """(id, file, start_line, start_col, end_line, end_col) of nodes with a ``location``."""
+    return nodes.select("id", *(F.col(f"location.{c}").alias(c) for c in ("file", "start_line", "start_col", "end_line", "end_col")))
+
+
 def slices(spans: DataFrame, files: DataFrame) -> DataFrame:
     """Text of spans (id, file, start_line, start_col, end_line, end_col) in files (path, content), with its cost.
 
@@ -145,7 +150,6 @@ def context(nodes: DataFrame, edges: DataFrame, files: DataFrame, start: DataFra
     """The bundle: slices (file, start_line, end_line, id, tokens, text, totals) of what fits the budget, nodes with a ``location``."""
     found = ranked(expanded(nodes, edges, start, max_depth, max_candidates), nodes)
     order = ranks.numbered(found, F.desc("score"), "distance", "qualified_name", *S.unsigned_order("id"), name="rank", start=1)
-    spans = nodes.join(order.select("id"), "id", "left_semi").select("id", F.col("location.file").alias("file"), *(F.col(f"location.{c}").alias(c) for c in ("start_line", "start_col", "end_line", "end_col")))
-    cut_out = slices(spans, files)
+    cut_out = slices(spans_of(nodes.join(order.select("id"), "id", "left_semi")), files)
     fit = allocated(order.join(cut_out.select("id", F.col("tokens").alias("cost")), "id").select("rank", "id", "cost"), limit).where("included")
     return bundled(cut_out.join(fit.select("id"), "id", "left_semi"))

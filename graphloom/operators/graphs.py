@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schema as S
 from ..functions.text import parent_module
-from ..sources.tables import cut
+from ..sources.tables import cut, renewed, superseded
 from . import ranks
 
 
@@ -154,11 +154,12 @@ def communities(p_nodes: DataFrame, p_edges: DataFrame, rounds: int = 50) -> Dat
     """(id, label) by synchronous label propagation: summed weights both ways, a vote of one for the own label, ties to the smallest label."""
     votes = p_edges.select(F.col("src").alias("id"), F.col("dst").alias("from"), "weight").union(p_edges.select("dst", "src", "weight")).union(p_nodes.select("id", "id", F.lit(1).cast("long")))
     votes = cut(votes.groupBy("id", "from").agg(F.sum("weight").alias("weight")))
-    labels = cut(p_nodes.select("id", F.col("id").alias("label")))
+    labels = renewed(p_nodes.select("id", F.col("id").alias("label")))
     for _ in range(rounds):
         counted = votes.join(labels.select(F.col("id").alias("from"), "label"), "from").groupBy("id", "label").agg(F.sum("weight").alias("w"))
-        new = cut(counted.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("best")).select("id", F.col("best.label").alias("label")))
+        new = renewed(counted.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("best")).select("id", F.col("best.label").alias("label")))
         moved = not new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
+        superseded(labels)
         labels = new
         if not moved:
             break

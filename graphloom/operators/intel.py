@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import schema as S
 from ..functions.text import relevance
 from . import graphs
+from .context import slices, spans_of
 
 TYPES = ("Struct", "Trait", "Interface", "Class")
 
@@ -60,11 +61,17 @@ def references(nodes: DataFrame, edges: DataFrame, node: int) -> DataFrame:
 
 
 def neighbourhood(nodes: DataFrame, edges: DataFrame, node: int, depth: int = 1, limit: int | None = None) -> DataFrame:
-    """(role, id, qualified_name, depth) around a node."""
+    """(role, id, qualified_name, depth) around a node.
+
+    The container is the last of the nodes that contain it, by their unsigned ids,
+    the parent the last of those that are modules or files.
+    """
     of = nodes.select("id", "kind", "name", "qualified_name", "file")
     one = lambda role, ids: ids.withColumn("role", F.lit(role)).withColumn("depth", F.lit(1).cast("long"))
     contains = edges.where("kind = 'Contains'")
-    parts = [one("container", contains.where(F.col("dst") == node).agg(F.max("src").alias("id")).where("id IS NOT NULL")), one("child", contains.where(F.col("src") == node).select(F.col("dst").alias("id")).distinct())]
+    holders = contains.where(F.col("dst") == node).select(F.col("src").alias("id")).distinct().join(of.select("id", "kind"), "id")
+    last = lambda df: df.agg(F.max(F.struct((F.col("id") < 0).alias("high"), "id"))["id"].alias("id")).where("id IS NOT NULL")
+    parts = [one("container", last(holders)), one("parent", last(holders.where("kind IN ('Module', 'File')"))), one("child", contains.where(F.col("src") == node).select(F.col("dst").alias("id")).distinct())]
     for role, kind, incoming in (("caller", "Calls", True), ("callee", "Calls", False), ("import", "Imports", False), ("export", "Exports", False)):
         parts.append(graphs.k_hop(nodes, edges, node, kind, depth, incoming, limit).select("id", "depth").withColumn("role", F.lit(role)))
     links = edges.where("kind IN ('Implements', 'Inherits')").where((F.col("src") == node) | (F.col("dst") == node))
@@ -156,8 +163,12 @@ def best_match(nodes: DataFrame, term: str) -> DataFrame:
     return find(nodes, term).orderBy(tier, *S.unsigned_order("id")).limit(1)
 
 
-def explore(nodes: DataFrame, edges: DataFrame, term: str, depth: int = 2) -> DataFrame:
-    """(section, name, detail): target, callers, callees, impact counts and tests of a symbol."""
+def explore(nodes: DataFrame, edges: DataFrame, term: str, depth: int = 2, files: DataFrame | None = None) -> DataFrame:
+    """(section, name, detail): target, callers, callees, impact counts and tests of a symbol.
+
+    With ``files`` (path, content), and nodes with a ``location``, its source text
+    too, unless that is empty.  A term that names nothing gives no rows.
+    """
     hit = best_match(nodes, term).first()
     schema = "section string, name string, detail string"
     if hit is None:
@@ -168,7 +179,11 @@ def explore(nodes: DataFrame, edges: DataFrame, term: str, depth: int = 2) -> Da
     found = discovered_tests(nodes, edges)
     tests = tests_of(found, hit["qualified_name"]).union(tests_of(found, hit["file"])).distinct().select(F.lit("test").alias("section"), "test_file", F.coalesce("test_symbol", F.lit("")))
     target = nodes.where(F.col("id") == hit["id"]).select(F.lit("target"), "qualified_name", F.concat("kind", F.lit(" in "), "file"))
-    return target.toDF("section", "name", "detail").union(near).union(hits).union(tests)
+    out = target.toDF("section", "name", "detail").union(near).union(hits).union(tests)
+    if files is not None and "location" in nodes.columns:
+        text = slices(spans_of(nodes.where(F.col("id") == hit["id"])), files).where("text <> ''")
+        out = out.union(text.select(F.lit("source"), F.lit(hit["qualified_name"]), "text"))
+    return out
 
 
 def markdown(sections: DataFrame, title: str) -> str:
@@ -178,5 +193,5 @@ def markdown(sections: DataFrame, title: str) -> str:
         if section != last:
             lines += ["", f"## {section}", ""]
             last = section
-        lines.append(f"- {name}" + (f": {detail}" if detail else ""))
+        lines += [f"- {name}:", "", *(f"      {x}" for x in detail.split("\n"))] if "\n" in (detail or "") else [f"- {name}" + (f": {detail}" if detail else "")]
     return "\n".join(lines) + "\n"

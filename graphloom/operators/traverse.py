@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import cut
+from ..sources.tables import cut, renewed, superseded
 
 
 def levels(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
@@ -33,18 +33,19 @@ def strong_components(edges: DataFrame) -> DataFrame:
         before = None
         while True:  # smallest id that reaches a node
             incoming = left.join(colour.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "c")
-            colour = cut(colour.union(incoming).groupBy("id").agg(F.min("c").alias("c")))
+            colour = renewed(colour.union(incoming).groupBy("id").agg(F.min("c").alias("c")), colour)
             now = colour.agg(F.sum(F.xxhash64("id", "c").cast("decimal(38,0)"))).first()[0]
             if now == before:
                 break
             before = now
         same = left.join(colour.select(F.col("id").alias("src"), F.col("c").alias("cs")), "src").join(colour.select(F.col("id").alias("dst"), F.col("c").alias("cd")), "dst").where("cs = cd")
         same = cut(same.select("src", "dst", F.col("cs").alias("c")))
-        mine = cut(colour.where("id = c"))
-        front = mine
+        mine = front = renewed(colour.where("id = c"), colour)
         while not front.isEmpty():  # nodes of a colour that reach its root
-            front = cut(same.join(front.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct().join(mine, ["id", "c"], "left_anti"))
-            mine = cut(mine.union(front))
+            reach = same.join(front.select(F.col("id").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("id"), "c").distinct()
+            front = renewed(reach.join(mine, ["id", "c"], "left_anti"), None if front is mine else front)
+            mine = renewed(mine.union(front), mine)
+        superseded(front)
         done = mine if done is None else done.union(mine)
         todo = cut(todo.join(mine, "id", "left_anti"))
         left = cut(left.join(mine.select(F.col("id").alias("src")), "src", "left_anti").join(mine.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
@@ -66,10 +67,11 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
     ranks = cut(ids.join(out.select(F.col("src").alias("id"), F.lit(False).alias("dangling")), "id", "left").select("id", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / n).alias("rank")))
+    new = None
     for _ in range(rounds):
         lost = ranks.where("dangling").agg(F.sum("rank")).first()[0] or 0.0
         got = share.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("rank")).alias("got"))
-        new = cut(ranks.withColumnRenamed("rank", "old").join(got, "id", "left").select("id", "dangling", "old", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank")))
+        new = renewed(ranks.withColumnRenamed("rank", "old").join(got, "id", "left").select("id", "dangling", "old", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + lost / n)).alias("rank")), new)
         moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
         ranks = new.drop("old")
         if moved < tolerance:

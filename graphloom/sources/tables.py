@@ -122,6 +122,30 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/graphloom-{what}-{uuid.uuid4().hex}"
 
 
+def renewed(df: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Cut the lineage with a table in the shared folder; ``before``, an earlier table of this kind that it supersedes, is removed.
+
+    An iterative operator thus keeps the tables of one round, however many rounds there are.
+    """
+    scope, spark = _SCOPE.get(), df.sparkSession
+    if scope is not None:
+        out, path = scope.written(df), f"{scope.folder}/{scope.tables}"
+    else:
+        path = fresh_path(spark, "round")
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    superseded(before)
+    return out
+
+
+def superseded(df: DataFrame | None) -> None:
+    """Remove a table of :func:`renewed` that nothing reads any more; other tables stay."""
+    path = df is not None and getattr(df, "kept_at", None)
+    if path:
+        remove_path(df.sparkSession, path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -112,7 +112,7 @@ def test_neighbourhood_and_tests(spark):
     got: dict[str, set] = {}
     for r in intel.neighbourhood(n, e, 2).collect():
         got.setdefault(r["role"], set()).add(r["id"])
-    assert got == {"container": {1}, "caller": {3, 4}, "callee": {5}, "implementation": {6}, "test": {4}}
+    assert got == {"container": {1}, "parent": {1}, "caller": {3, 4}, "callee": {5}, "implementation": {6}, "test": {4}}
     tests = {(r["source_file"], r["source_symbol"], r["test_file"], r["test_symbol"]) for r in intel.discovered_tests(n, e).collect()}
     assert tests == {("src/lib.rs", "src/lib.rs::handle", "tests/lib_test.rs", "tests/lib_test.rs::test_handle"), ("src/lib.rs", None, "tests/lib_test.rs", None)}
     assert {tuple(r) for r in intel.tests_of(intel.discovered_tests(n, e), "handle").collect()} == {("tests/lib_test.rs", "tests/lib_test.rs::test_handle")}
