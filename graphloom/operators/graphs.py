@@ -45,15 +45,25 @@ def level_keys(nodes: DataFrame, level: str) -> DataFrame:
 def projected(nodes: DataFrame, edges: DataFrame, level: str, kinds: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """p_nodes (id, name, level, member_count) and p_edges (src, dst, weight, kinds); loops stay.
 
-    Multi-edges are counted before the joins.
+    Edges stream through hash tables of their ends, one row a node, and are summed
+    once both keys are known: a task holds nodes and projected pairs, not edges.
+    The kinds of a pair are bits of a number.
     """
     of = level_keys(nodes, level)
     p_nodes = of.groupBy(F.col("key").alias("id")).agg(F.min("name").alias("name"), F.count("*").alias("member_count")).select("id", "name", F.lit(level).alias("level"), "member_count")
-    some = edge_filter(edges, kinds).groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))
-    ends = some.join(of.select(F.col("id").alias("src"), F.col("key").alias("a")), "src").join(of.select(F.col("id").alias("dst"), F.col("key").alias("b")), "dst")
-    kind_list = F.array_sort(F.collect_set(F.struct(S.code(F.col("kind"), S.EDGE_KINDS).alias("code"), "kind")))
-    p_edges = ends.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("n").alias("weight"), F.array_join(F.transform(kind_list, lambda k: k["kind"]), ",").alias("kinds"))
-    return p_nodes, p_edges
+    some = edge_filter(edges, kinds).select("src", "dst", "kind")
+    ends = some.join(keyed(of, "src", "a"), "src").join(keyed(of, "dst", "b"), "dst")
+    code, pair = S.code(F.col("kind"), S.EDGE_KINDS), (F.col("a").alias("src"), F.col("b").alias("dst"))
+    per = ends.groupBy(*pair).agg(F.count("*").alias("weight"), F.bit_or(F.call_function("shiftleft", F.lit(1), code)).alias("bits"))
+    # kinds that the list does not have come first, as their code is 0
+    others = ends.where(code == 0).groupBy(*pair).agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("others"))
+    names = F.concat_ws(",", "others", *(F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) > 0, kind) for k, kind in enumerate(S.EDGE_KINDS, 1)))
+    return p_nodes, per.join(others, ["src", "dst"], "left").select("src", "dst", "weight", names.alias("kinds"))
+
+
+def keyed(keys: DataFrame, end: str, name: str) -> DataFrame:
+    """Keys (id, key) of one end of edges, as the side of a join that is held in hash tables."""
+    return keys.select(F.col("id").alias(end), F.col("key").alias(name)).hint("shuffle_hash")
 
 
 def adjacency(p_nodes: DataFrame, p_edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.schema import looks_like_test
 from ..functions.text import parent_module, relevance
+from .graphs import keyed
 
 
 def find(nodes: DataFrame, term: str) -> DataFrame:
@@ -36,8 +37,9 @@ def project(nodes: DataFrame, edges: DataFrame, level: str) -> tuple[DataFrame,
     key = F.col("file") if level == "file" else parent_module(F.col("file"))
     of = nodes.select("id", key.alias("key"))
     p_nodes = of.groupBy(F.col("key").alias("id")).agg(F.count("*").alias("member_count"))
-    e = edges.join(of.select(F.col("id").alias("src"), F.col("key").alias("a")), "src").join(of.select(F.col("id").alias("dst"), F.col("key").alias("b")), "dst")
-    p_edges = e.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.count("*").alias("weight"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+    e = edges.join(keyed(of, "src", "a"), "src").join(keyed(of, "dst", "b"), "dst")
+    per = e.groupBy(F.col("a").alias("src"), F.col("b").alias("dst"), "kind").agg(F.count("*").alias("n"))  # hashed; a set of kinds would sort all edges
+    p_edges = per.groupBy("src", "dst").agg(F.sum("n").alias("weight"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
     return p_nodes, p_edges
 
 
@@ -74,7 +76,7 @@ def dead_code(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...]) -> Dat
 def unreferenced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Dead-code candidates: no inbound edge but Contains; files, modules, main and what looks like a test left out."""
     some = nodes.where(~F.col("kind").isin("File", "Module") & (F.col("name") != "main") & ~looks_like_test(F.col("name"), F.col("file")))
-    return some.join(edges.where("kind <> 'Contains'").select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+    return some.join(edges.where("kind <> 'Contains'").select(F.col("dst").alias("id")).distinct().hint("shuffle_hash"), "id", "left_anti")  # ids are held, nodes are not sorted
 
 
 def edge_diff(old: DataFrame, new: DataFrame) -> DataFrame:
