@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import schema as S
 from ..functions.text import relevance
 from . import graphs
-from .context import slices, spans_of
 
 TYPES = ("Struct", "Trait", "Interface", "Class")
 
@@ -38,8 +37,13 @@ def related(edges: DataFrame, node: int, incoming: bool = False) -> DataFrame:
 
 
 def explained(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """For every node: parent (least source of Contains, as an unsigned number), distinct neighbours each way, callers, callees, imports (by edge)."""
-    inn = edges.groupBy(F.col("dst").alias("id")).agg(F.min(F.when(F.col("kind") == "Contains", F.struct((F.col("src") < 0).alias("high"), F.col("src").alias("id"))))["id"].alias("parent"), F.count_distinct("src").alias("incoming"), F.count_if(F.col("kind") == "Calls").alias("callers"))
+    """For every node: parent (least source of Contains, as an unsigned number), distinct neighbours each way, callers, callees, imports (by edge).
+
+    With its highest bit turned a long has the order of an unsigned number; its
+    least is kept in a hash table, where that of a struct would sort all edges.
+    """
+    turned = lambda c: c.bitwiseXOR(F.lit(-(1 << 63)))
+    inn = edges.groupBy(F.col("dst").alias("id")).agg(turned(F.min(F.when(F.col("kind") == "Contains", turned(F.col("src"))))).alias("parent"), F.count_distinct("src").alias("incoming"), F.count_if(F.col("kind") == "Calls").alias("callers"))
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count_distinct("dst").alias("outgoing"), F.count_if(F.col("kind") == "Calls").alias("callees"), F.count_if(F.col("kind") == "Imports").alias("imports"))
     return nodes.select("id", "kind", "qualified_name").join(inn, "id", "left").join(out, "id", "left").na.fill(0, ["incoming", "callers", "outgoing", "callees", "imports"])
 
@@ -169,6 +173,8 @@ def explore(nodes: DataFrame, edges: DataFrame, term: str, depth: int = 2, files
     With ``files`` (path, content), and nodes with a ``location``, its source text
     too, unless that is empty.  A term that names nothing gives no rows.
     """
+    from .context import slices, spans_of
+
     hit = best_match(nodes, term).first()
     schema = "section string, name string, detail string"
     if hit is None:
