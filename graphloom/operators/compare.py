@@ -121,22 +121,29 @@ def file_churn(records: DataFrame) -> DataFrame:
     return records.groupBy("file").agg(F.count("*").alias("commits"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.array_join(F.array_sort(F.collect_set("author")), ",").alias("authors"), F.count_if("binary").alias("binary_changes"))
 
 
+def often(n: DataFrame, total: DataFrame, min_support: float) -> DataFrame:
+    """Files (file, n) in enough of all commits (total, one row) to be part of a pair."""
+    return n.join(F.broadcast(total)).where(F.col("n") >= min_support * F.col("total")).drop("total")  # one row is broadcast
+
+
 def co_change(commits: DataFrame, min_support: float, block: int = 64) -> DataFrame:
     """Pairs of files a < b that change together, with support and both confidences.
 
     Files of a commit are numbered into blocks; a commit is joined block by block,
     so a commit of very many files is spread over tasks, and none of its pairs is
-    left out.
+    left out.  A pair changes together at most as often as either file changes, so
+    files in too few commits are left out before the pairs are made.
     """
     c = commits.select("commit", "file").distinct()
     total = c.agg(F.count_distinct("commit").alias("total"))
+    n = c.groupBy("file").agg(F.count("*").alias("n"))
+    c = c.join(often(n, total, min_support).select("file"), "file", "left_semi")
     sized = c.join(c.groupBy("commit").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "commit")
     mine = F.pmod(F.xxhash64("file"), F.col("blocks")).cast("int")
     left = sized.select("commit", F.col("file").alias("file_a"), mine.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     right = sized.select("commit", F.col("file").alias("file_b"), mine.alias("j"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
     pairs = left.join(right, ["commit", "i", "j"]).where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count("*").alias("co_commits"))
     pairs = pairs.join(F.broadcast(total)).where(F.col("co_commits") >= min_support * F.col("total"))  # one row is broadcast
-    n = c.groupBy("file").agg(F.count("*").alias("n"))
     out = pairs.join(n.select(F.col("file").alias("file_a"), F.col("n").alias("commits_a")), "file_a").join(n.select(F.col("file").alias("file_b"), F.col("n").alias("commits_b")), "file_b")
     ratio = lambda a, b: F.round(F.col(a) / F.col(b), 6)
     return out.select("file_a", "file_b", "co_commits", "commits_a", "commits_b", ratio("co_commits", "total").alias("support"), ratio("co_commits", "commits_a").alias("conf_a_b"), ratio("co_commits", "commits_b").alias("conf_b_a"))

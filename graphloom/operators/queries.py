@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.schema import looks_like_test
 from ..functions.text import parent_module, relevance
+from .compare import often
 from .graphs import keyed
 
 
@@ -61,9 +62,10 @@ def change_coupling(commits: DataFrame, min_support: float) -> DataFrame:
     """Pairs of files a < b that change together in enough of all commits."""
     c = commits.select("commit", "file").distinct()
     total = c.agg(F.count_distinct("commit").alias("total"))
-    pairs = c.alias("x").join(c.alias("y"), "commit").where("x.file < y.file").groupBy(F.col("x.file").alias("file_a"), F.col("y.file").alias("file_b")).agg(F.count("*").alias("co_commits"))
-    pairs = pairs.join(F.broadcast(total), F.col("co_commits") >= min_support * F.col("total")).drop("total")
     n = c.groupBy("file").agg(F.count("*").alias("n"))
+    some = c.join(often(n, total, min_support).select("file"), "file", "left_semi")  # no pair is found more often than either file
+    pairs = some.alias("x").join(some.alias("y"), "commit").where("x.file < y.file").groupBy(F.col("x.file").alias("file_a"), F.col("y.file").alias("file_b")).agg(F.count("*").alias("co_commits"))
+    pairs = pairs.join(F.broadcast(total), F.col("co_commits") >= min_support * F.col("total")).drop("total")
     out = pairs.join(n.select(F.col("file").alias("file_a"), F.col("n").alias("na")), "file_a").join(n.select(F.col("file").alias("file_b"), F.col("n").alias("nb")), "file_b")
     return out.select("file_a", "file_b", "co_commits", F.round(F.col("co_commits") / F.col("na"), 6).alias("conf_a_b"), F.round(F.col("co_commits") / F.col("nb"), 6).alias("conf_b_a"))
 
