@@ -107,15 +107,17 @@ def slices(spans: DataFrame, files: DataFrame) -> DataFrame:
     that are not there give an empty text, a path that leaves the root is an error.
     """
     j = spans.withColumn("key_", inside_root(F.col("file"))).join(files.select(F.col("path").alias("key_"), "content"), "key_", "left")
-    lines = F.split(F.coalesce("content", F.lit("")), "\r?\n", -1)
+    # a text is split only as far as its span goes, and each step is worked out once
+    j = j.withColumn("lines_", F.split(F.coalesce("content", F.lit("")), "\r?\n", F.least(F.greatest(F.col("end_line"), F.lit(0)), F.lit(2**31 - 2)).cast("int") + 1)).drop("content", "key_")
+    lines = F.col("lines_")
     count = F.when(F.col("start_line") < 1, F.lit(0)).otherwise(F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0)))
-    part = F.slice(lines, F.greatest(F.col("start_line"), F.lit(1)), count)
+    j, part = j.withColumn("part_", F.slice(lines, F.greatest(F.col("start_line"), F.lit(1)), count)).drop("lines_"), F.col("part_")
     n, first, last = F.size(part), F.element_at(part, 1), F.element_at(part, -1)
     start = F.greatest(F.col("start_col") - 1, F.lit(0))
     end = F.when(F.col("end_col") <= 1, F.octet_length(last)).otherwise(F.col("end_col") - 1)
     many = F.concat(F.array(byte_cut(first, start, F.octet_length(first))), F.slice(part, 2, F.greatest(n - 2, F.lit(0))), F.array(byte_cut(last, F.lit(0), end)))
     text = F.when(n == 0, "").when(n == 1, byte_cut(first, start, end)).otherwise(F.array_join(many, "\n"))
-    text = F.coalesce(text, F.lit(""))
+    j, text = j.withColumn("text_", F.coalesce(text, F.lit(""))), F.col("text_")
     return j.select("id", "file", "start_line", "end_line", text.alias("text"), approx_tokens(text).alias("tokens"), F.octet_length(text).cast("long").alias("bytes"), F.length(text).cast("long").alias("characters"))
 
 
