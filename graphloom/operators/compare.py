@@ -37,8 +37,8 @@ def node_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def semantic_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with a hash of the key of either end; those without both ends vanish."""
-    key = filled(nodes).select("id", F.sha2(F.to_json(F.struct(*KEY)), 256).alias("key"))
+    """Edges with a hash of the key of either end, as 32 bytes; those without both ends vanish."""
+    key = filled(nodes).select("id", F.unhex(F.sha2(F.to_json(F.struct(*KEY)), 256)).alias("key"))
     e = edges if "label" in edges.columns else edges.withColumn("label", F.lit(None).cast("string"))
     return e.join(key.select(F.col("id").alias("src"), F.col("key").alias("src_key")), "src").join(key.select(F.col("id").alias("dst"), F.col("key").alias("dst_key")), "dst")
 

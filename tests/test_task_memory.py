@@ -55,3 +55,44 @@ def test_unreferenced_nodes_are_not_sorted(spark):
     found = queries.unreferenced(nodes, edges)
     assert [r["id"] for r in found.orderBy("id").collect()] == [0, 2]
     assert "SortMergeJoin" not in planned(found)
+
+
+def test_resolution_broadcasts_no_table(spark):
+    from graphloom.operators import build, resolve
+    from graphloom.plans import resolution
+
+    files, records, nodes = resolution._graph(spark, DIR)
+    targets, refs = tables.cut(build.import_targets(files, records)), tables.cut(build.references(records))
+    found = build.edges_of(files, records, nodes, resolve.resolved(refs, nodes, targets, resolve.reexports(targets, nodes)), targets)
+    assert "BroadcastHashJoin" not in planned(found)
+
+
+def test_files_of_too_few_commits_make_no_pairs(spark):
+    from graphloom.operators import compare
+
+    rows = [(k, f) for k in range(10) for f in ("a", "b") if k < 5 or f == "a"] + [(k, f"once{k}") for k in range(10)]
+    commits = spark.createDataFrame(rows, "commit long, file string")
+    n, total = commits.groupBy("file").agg(F.count("*").alias("n")), commits.agg(F.count_distinct("commit").alias("total"))
+    assert {r["file"] for r in compare.often(n, total, 0.5).collect()} == {"a", "b"}
+    assert [(r["file_a"], r["file_b"], r["co_commits"], r["commits_a"]) for r in compare.co_change(commits, 0.5).collect()] == [("a", "b", 5, 10)]
+    assert [(r["file_a"], r["file_b"], r["co_commits"], r["conf_a_b"]) for r in queries.change_coupling(commits, 0.5).collect()] == [("a", "b", 5, 0.5)]
+    assert queries.change_coupling(commits, 0.6).count() == 0
+
+
+def test_slices_split_no_further_than_the_span(spark):
+    from graphloom.operators import context
+
+    files = spark.createDataFrame([("a", "eins\r\nzwei\ndé\n\nfünf\n"), ("e", ""), ("n", None)], "path string, content string")
+    ends = [("a", 1, 1, 2, 1), ("a", 2, 3, 3, 3), ("a", 5, 1, 9, 1), ("a", 4, 1, 4, 1), ("a", 8, 1, 9, 1), ("a", 0, 1, 2, 1), ("a", 3, 1, 2, 1), ("a", 1, 1, 1, 3), ("e", 1, 1, 1, 1), ("n", 1, 1, 3, 1), ("a", -3, 1, -2, 1), ("a", 5, 1, 2**31 - 1, 1)]
+    spans = spark.createDataFrame([(i, *x) for i, x in enumerate(ends)], "id long, file string, start_line int, start_col int, end_line int, end_col int")
+    got = context.slices(spans, files)
+    assert [r["text"] for r in got.orderBy("id").collect()] == ["eins\nzwei", "ei\nd", "fünf\n", "", "", "", "", "ei", "", "", "", "fünf\n"]
+    assert "end_line" in planned(got).split("split(")[1].split(") AS")[0]
+
+
+def test_keys_of_ends_are_bytes(spark):
+    from graphloom.operators import compare
+
+    nodes, edges = some_graph(spark)
+    assert {len(r["src_key"]) for r in compare.semantic_edges(nodes, edges).collect()} == {32}
+    assert sorted((r["change"], r["kind"], r["src"]) for r in compare.edge_diff(nodes, edges, nodes, edges.where("kind <> 'Calls'")).collect()) == [("removed", "Calls", 0)] * 2
