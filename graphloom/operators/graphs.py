@@ -14,6 +14,7 @@ from ..functions import schema as S
 from ..functions.text import parent_module
 from ..sources.tables import cut, renewed, superseded
 from . import ranks
+from .traverse import among
 
 
 def edge_filter(edges: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -241,9 +242,10 @@ def impact(nodes: DataFrame, edges: DataFrame, target: int, max_depth: int = 3)
     seen = cut(nodes.where(F.col("id") == target).select("id", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("rank"), F.lit(None).cast("string").alias("kind"), "name", F.lit(None).cast("string").alias("because"), F.col("qualified_name").alias("path")))
     front = seen
     for d in range(1, max_depth + 1):
-        ahead = front.select(F.col("id").alias("dst"), F.col("rank").alias("parent_rank"), F.col("name").alias("parent"), F.col("path").alias("before")).join(e, "dst").join(seen.select(F.col("id").alias("src")), "src", "left_anti")
+        ahead = front.select(F.col("id").alias("dst"), F.col("rank").alias("parent_rank"), F.col("name").alias("parent"), F.col("path").alias("before")).join(among(e, "dst", front), "dst").join(seen.select(F.col("id").alias("src")), "src", "left_anti")
         first = Window.partitionBy("src").orderBy("parent_rank", "code", "dst")
-        new = ahead.withColumn("n", F.row_number().over(first)).where("n = 1").join(names.withColumnRenamed("id", "src"), "src")
+        new = cut(ahead.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n"))
+        new = new.join(among(names, "id", new.select(F.col("src").alias("id"))).withColumnRenamed("id", "src"), "src")
         new = ranks.numbered(new, "parent_rank", "code", "src", name="rank", start=1)
         front = cut(new.select(F.col("src").alias("id"), F.lit(d).cast("long").alias("depth"), "rank", "kind", "name", F.concat("name", F.lit(" -> "), F.lower("kind"), F.lit(" -> "), "parent").alias("because"), F.concat("before", F.lit(" > "), "qualified_name").alias("path")))
         if front.isEmpty():
@@ -251,7 +253,7 @@ def impact(nodes: DataFrame, edges: DataFrame, target: int, max_depth: int = 3)
         seen = seen.union(front)
     hard = F.col("kind").isin("Calls", "Imports")
     kind = F.when(hard & (F.col("depth") == 1), "Direct").when(hard, "Transitive").otherwise("Possible")
-    return seen.where("depth > 0").select("id", "depth", "because", "path", kind.alias("impact"), "rank").join(names.drop("name"), "id").select("id", "qualified_name", "file", "depth", "impact", "because", "path", "rank")
+    return seen.where("depth > 0").select("id", "depth", "because", "path", kind.alias("impact"), "rank").join(among(names.drop("name"), "id", seen), "id").select("id", "qualified_name", "file", "depth", "impact", "because", "path", "rank")
 
 
 def impact_counts(hit: DataFrame) -> DataFrame:

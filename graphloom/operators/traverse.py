@@ -8,6 +8,20 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut, renewed, superseded
 
 
+#: A front of at most that many nodes is a condition on edges instead of a side of their join.
+FEW = 1000
+
+
+def among(rows: DataFrame, column: str, front: DataFrame) -> DataFrame:
+    """``rows`` for a join of ``column`` with the ids of ``front`` (id): with few of them, those that can meet one.
+
+    The condition is pushed into what the rows are made of, so that a step from a
+    small front reads the tables but makes, shuffles and joins no other edges.
+    """
+    ids = [r[0] for r in front.select("id").distinct().limit(FEW + 1).collect()]  # bounded
+    return rows.where(F.col(column).isin(ids)) if len(ids) <= FEW else rows
+
+
 def levels(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """(id, depth): hops from the nearest of ``seeds`` (id), at most ``depth``."""
     a, b = ("dst", "src") if reverse else ("src", "dst")
@@ -15,7 +29,7 @@ def levels(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False
     seen = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0).cast("long")))
     front = seen
     for d in range(1, depth + 1):
-        front = cut(front.select("id").join(step, "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d).cast("long")))
+        front = cut(front.select("id").join(among(step, "id", front), "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d).cast("long")))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
