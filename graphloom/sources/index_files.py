@@ -6,11 +6,12 @@ them, and a manifest that names them, written when all have ended.  The build
 that counts is the one that the newest ``current-<n>`` file names; it appears
 by renaming, after everything else, so a save that breaks off changes nothing.
 
-:class:`IndexSource` reads a table with one partition a section: a section is
-checked before any of its rows is given out.  Sections of other kinds than those
-that the option ``kinds`` names are not opened.  Filters are not pushed: with
-Spark 4.1.2 all scans of one loaded table in a plan share the state of the last
-pushed filter, so two filters on one table gave the rows of one of them twice.
+:class:`IndexSource` reads a table with a partition a section, or a few small
+ones: a section is checked before any of its rows is given out.  Sections of
+other kinds than those that the option ``kinds`` names are not opened.  Filters
+are not pushed: with Spark 4.1.2 all scans of one loaded table in a plan share
+the state of the last pushed filter, so two filters on one table gave the rows
+of one of them twice.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ MAGIC, VERSION, ORDER_MARK = b"GLIX", 1, 0x01020304
 HEADER = struct.Struct("<4sIIIQQ32s")
 #: A section ends with the batch that takes it beyond this many bytes in memory.
 SECTION_BYTES = 8 << 20
+#: Of more sections than that, small ones are read together, up to so many rows at once.
+OWN_TASK, TASK_ROWS = 32, 400_000
 SECTION_ROW = "section string, kind string, rows long, state string"
 MISSING, CORRUPT, VERSION_MISMATCH, STALE, CURRENT = "missing", "corrupt", "version mismatch", "stale", "current"
 
@@ -118,6 +121,14 @@ class Section(InputPartition):
         self.name, self.kind, self.rows, self.digest = name, kind, rows, digest
 
 
+@dataclass
+class Several(InputPartition):
+    sections: list
+
+    def __init__(self, sections: list):
+        self.sections = sections
+
+
 @dataclass
 class Written(WriterCommitMessage):
     sections: list
@@ -130,7 +141,17 @@ class SectionReader(DataSourceReader):
         self.sections = every if kinds is None else [s for s in every if s.kind in kinds]
 
     def partitions(self):
-        return self.sections or [Section("", None, 0, "")]
+        """A partition a section; of more than ``OWN_TASK``, small ones share partitions of up to ``TASK_ROWS`` rows."""
+        if len(self.sections) <= OWN_TASK or self.check:
+            return [Several([s]) for s in self.sections] or [Several([])]
+        groups, rows = [], TASK_ROWS
+        for s in self.sections:
+            if rows + s.rows > TASK_ROWS:
+                groups.append([])
+                rows = 0
+            groups[-1].append(s)
+            rows += s.rows
+        return [Several(g) for g in groups]
 
     def _body(self, s: Section) -> bytes:
         data = _read(f"{self.path}/{s.name}")
@@ -139,11 +160,13 @@ class SectionReader(DataSourceReader):
             raise IndexFault(CORRUPT, f"{s.name} is not the section of the manifest")
         return body
 
-    def read(self, partition: Section) -> Iterator:
+    def read(self, partition: Several) -> Iterator:
+        for s in partition.sections:
+            yield from self._rows(s)
+
+    def _rows(self, partition: Section) -> Iterator:
         import pyarrow as pa
 
-        if not partition.name:
-            return
         if self.check:
             try:
                 self._body(partition)
@@ -247,11 +270,8 @@ def registered(spark: SparkSession) -> SparkSession:
 
 
 def write_table(df: DataFrame, path: str, by: str | None = None) -> None:
-    """Rows as sections, parted by the values of ``by``; ranges over all columns that have an order share out a frequent value."""
+    """Rows as sections, parted by the values of ``by`` in the tasks that hold them: rows are made once and not shuffled."""
     registered(df.sparkSession)
-    if by:
-        rest = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("bigint", "int", "string") and f.name != by]
-        df = df.repartitionByRange(by, *rest[:3])
     w = df.write.format("code_index").mode("append")
     (w.option("by", by) if by else w).save(path)
 
