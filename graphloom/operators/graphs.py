@@ -161,19 +161,30 @@ def cycle_kinds(found: DataFrame, p_edges: DataFrame) -> DataFrame:
     return per.select("path", "length", F.expr("transform(s, x -> x.kinds)").alias("edge_kinds"))
 
 
-def communities(p_nodes: DataFrame, p_edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, label) by synchronous label propagation: summed weights both ways, a vote of one for the own label, ties to the smallest label."""
+def communities(p_nodes: DataFrame, p_edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, label) by synchronous label propagation: summed weights both ways, a vote of one for the own label, ties to the smallest label.
+
+    Without ``rounds`` it goes on until no label changes.  Votes are symmetric, so
+    labels end in one state or in two that alternate; of two, the one after an even
+    number of rounds counts, or the one that ``rounds`` would end with.
+    """
     votes = p_edges.select(F.col("src").alias("id"), F.col("dst").alias("from"), "weight").union(p_edges.select("dst", "src", "weight")).union(p_nodes.select("id", "id", F.lit(1).cast("long")))
     votes = cut(votes.groupBy("id", "from").agg(F.sum("weight").alias("weight")))
-    labels = renewed(p_nodes.select("id", F.col("id").alias("label")))
-    for _ in range(rounds):
+    labels, before, n = renewed(p_nodes.select("id", F.col("id").alias("label"))), None, 0
+    while rounds is None or n < rounds:
+        n += 1
         counted = votes.join(labels.select(F.col("id").alias("from"), "label"), "from").groupBy("id", "label").agg(F.sum("weight").alias("w"))
         new = renewed(counted.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("best")).select("id", F.col("best.label").alias("label")))
-        moved = not new.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
-        superseded(labels)
-        labels = new
-        if not moved:
+        differ = lambda a, b: not a.join(b.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty()
+        settled = not differ(new, labels)
+        alternate = not settled and before is not None and not differ(new, before)
+        superseded(before)
+        before, labels = labels, new
+        if settled or alternate:
             break
+    if before is not None and n != (rounds or 0) and (n - (rounds or 0)) % 2:
+        before, labels = labels, before  # equal if they have settled
+    superseded(before)
     return labels
 
 
