@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
-from ..sources.tables import cut
+from ..sources.tables import cut, renewed, superseded
+from .traverse import among
 
 #: What a node is, whatever its id.
 KEY = ("language", "file", "kind", "qualified_name", "container", "signature")
@@ -52,6 +53,41 @@ def edge_diff(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame,
     return added.union(old.join(new, same(old, new, keys), "left_anti").select(F.lit("removed").alias("change"), *show))
 
 
+def classes(nodes: DataFrame) -> DataFrame:
+    """(id, of): nodes with a number that those of the same semantic key share, told by half its SHA-256.
+
+    Numbers are given after nodes of a key have met, as ids may repeat; they differ from run to run.
+    """
+    key = F.substring(F.unhex(F.sha2(F.to_json(F.struct(*KEY)), 256)), 1, 16)
+    n = filled(nodes).select("id", key.alias("key")).repartition("key").withColumn("row", F.monotonically_increasing_id())
+    return n.select("id", F.min("row").over(Window.partitionBy("key")).alias("of"))
+
+
+def marked_diff(nodes: DataFrame, edges: DataFrame, old: Column, new: Column) -> DataFrame:
+    """:func:`edge_diff` of two snapshots with the same nodes, each told by a condition on edges.
+
+    Only edges of one snapshot can be a change.  What both hold is looked at as far
+    as it may equal one: of a kind that some such edge has, with ends of the keys
+    of its ends.  Ends go by classes of nodes, numbers instead of hashes.
+    """
+    e = edges if "label" in edges.columns else edges.withColumn("label", F.lit(None).cast("string"))
+    e = e.withColumn("was", F.coalesce(old, F.lit(False))).withColumn("now", F.coalesce(new, F.lit(False))).withColumn("any_kind", F.coalesce("kind", F.lit("")))
+    of = renewed(classes(nodes))
+    end = lambda ids, name, key: ids.select(F.col("id").alias(name), F.col("of").alias(key)).hint("shuffle_hash")
+    only = e.where("was <> now").select("kind", "any_kind", "label", "src", "dst", "now")
+    only = renewed(only.join(end(of, "src", "a"), "src").join(end(of, "dst", "b"), "dst"))
+    met = lambda key: of.join(only.select(F.col(key).alias("of")).distinct().hint("shuffle_hash"), "of", "left_semi")
+    both = among(e.where("was AND now"), "any_kind", only.select(F.col("any_kind").alias("id"))).select("kind", "label", "src", "dst")
+    both = both.join(end(met("a"), "src", "a"), "src").join(end(met("b"), "dst", "b"), "dst")
+    both = renewed(both.select("kind", "label", "a", "b").distinct())
+    superseded(of)
+    rows = only.select("kind", "label", "src", "dst", "a", "b", F.when(F.col("now"), 2).otherwise(1).alias("held"))
+    rows = rows.union(both.select("kind", "label", F.lit(None).cast("long"), F.lit(None).cast("long"), "a", "b", F.lit(3)))
+    seen = F.bit_or("held").over(Window.partitionBy("a", "b", "kind", "label"))
+    change = F.when(F.col("held") == 2, "added").otherwise("removed")
+    return rows.withColumn("seen", seen).where("held < 3 AND seen = held").select(change.alias("change"), "kind", "src", "dst", "label")
+
+
 def api_slots(nodes: DataFrame) -> DataFrame:
     """Public nodes with the running number within file, name and kind."""
     n = filled(nodes)
